@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallybrook.llm import bpe_transducer, brown_lm, near_dup, packing, quality_classifier, token_counts, topk_search
+from tallybrook.llm import bpe_transducer, brown_lm, license_scan, line_dedup, near_dup, packing, quality_classifier, quality_rules, token_counts, topk_search
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
     "op7_bpe_round_trip": bpe_transducer.op7_bpe_round_trip,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
