@@ -1 +1 @@
-
+"""The functions of the transaction engine."""

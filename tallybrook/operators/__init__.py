@@ -1 +1 @@
-
+"""The operators of the transaction engine."""

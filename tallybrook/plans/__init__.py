@@ -1 +1 @@
-
+"""The plans of the transaction engine."""

@@ -1 +1 @@
-
+"""The sources of the transaction engine."""
