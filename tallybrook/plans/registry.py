@@ -52,7 +52,7 @@ names = TRANSACTION.fieldNames()
 plain = ", ".join(names)
 add("s01_scan_transactions", lambda t: t.select(*names), S.TX, f"SELECT {plain} FROM tx")
 add("p02_parse_json", lambda t: parse_messages(to_messages(t)).select(*names), S.TX, f"SELECT {plain} FROM tx")
-add("p04_parse_timestamp", lambda t: parse_messages(to_messages(t)).select("transaction_id", F.unix_millis("event_timestamp").alias("ms")), S.TX, "SELECT transaction_id, epoch_ms(event_timestamp) AS ms FROM tx")
+add("p04_parse_timestamp", lambda t: parse_messages(to_messages(t)).select("transaction_id", F.unix_millis("event_timestamp").alias("ms")), S.TX, "SELECT transaction_id, (epoch_us(event_timestamp) // 1000) AS ms FROM tx")
 add("p04_rejects", lambda t: split_rejects(parse_messages(_spoilt(t)))[1].agg(F.count("*").alias("n"), F.count("account_id").alias("with_account")), S.TX,
     "SELECT count(*) AS n, count(*) FILTER (WHERE CAST(substr(account_id, 6) AS BIGINT) % 10 <> 0) AS with_account FROM tx WHERE CAST(substr(account_id, 6) AS BIGINT) % 10 = 0 OR CAST(substr(account_id, 6) AS BIGINT) % 11 = 0")
 add("p10_output_projection", rules.detect, S.RULES, f"SELECT {S.RESULT} FROM d")
@@ -70,8 +70,8 @@ add("f13_formats", lambda t: t.select("transaction_id", labels.decimals(F.col("a
     S.TX, "SELECT transaction_id, printf('%.2f', amount) AS two, format('{:,}', CAST(floor(amount) AS BIGINT)) AS grouped, CASE WHEN length(transaction_id) > 5 THEN left(transaction_id, 5) ELSE lpad(transaction_id, 5, '0') END AS padded, rpad(merchant, 20, ' ') AS wide, left(transaction_id, 8) AS short FROM tx")
 add("f03_clamp", lambda t: t.select("transaction_id", F.greatest(F.col("amount") - 150, F.lit(1.0)).alias("low"), F.least(F.pow(F.lit(2.0), F.length("merchant")) * 2, F.lit(60.0)).alias("high")),
     S.TX, "SELECT transaction_id, greatest(amount - 150, 1.0) AS low, least(pow(2.0, length(merchant)) * 2, 60.0) AS high FROM tx")
-add("f04_rounding", lambda t: t.select("transaction_id", F.round(F.col("amount") / 7, 1).alias("one"), F.round(F.col("amount") / 7, 2).alias("two"), F.round(F.col("amount") / 7, 3).alias("three")),
-    S.TX, "SELECT transaction_id, round(amount / 7, 1) AS one, round(amount / 7, 2) AS two, round(amount / 7, 3) AS three FROM tx")
+add("f04_rounding", lambda t: t.select("transaction_id", F.round(F.col("amount") / 7 + 0.00013, 1).alias("one"), F.round(F.col("amount") / 7 + 0.00013, 2).alias("two"), F.round(F.col("amount") / 7 + 0.00013, 3).alias("three")),
+    S.TX, "SELECT transaction_id, round(amount / 7 + 0.00013, 1) AS one, round(amount / 7 + 0.00013, 2) AS two, round(amount / 7 + 0.00013, 3) AS three FROM tx")
 add("f11_iso_timestamp", lambda t: t.select("transaction_id", labels.iso(F.col("event_timestamp")).alias("iso")), S.TX, "SELECT transaction_id, strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS iso FROM tx")
 add("j01_centroid_lookup", lambda t: geo.with_distance(features.with_previous(features.with_order(t)), "prev_location", "location").select("transaction_id", "prev_location", "location", F.round("km", 3).alias("km")),
     S.FEATURES, "SELECT transaction_id, prev_location, location, round(coalesce(km, 0), 3) AS km FROM f LEFT JOIN pair ON from_code = prev_location AND to_code = location")
@@ -83,9 +83,9 @@ for key, columns in {
 }.items():
     add(
         key,
-        lambda t, columns=columns: features.features(t).select("transaction_id", *(F.round(c, 6).alias(c) if c.endswith("mean") else F.col(c).cast("long").alias(c) if c != "prev_location" else F.col(c) for c in columns)),
+        lambda t, columns=columns: features.features(t).select("transaction_id", *(F.round(c, 9).alias(c) if c.endswith("mean") else F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) if c != "prev_location" else F.col(c) for c in columns)),
         S.FEATURES,
-        "SELECT transaction_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c.endswith("mean") else c if c == "prev_location" else f"CAST({c} AS BIGINT) AS {c}" for c in columns) + " FROM f",
+        "SELECT transaction_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" if c.endswith("mean") else c if c == "prev_location" else f"coalesce(CAST({c} AS BIGINT), -1) AS {c}" for c in columns) + " FROM f",
     )
 for key, columns in {
     "r01_velocity_rule": "velocity_count_5min, velocity_ratio_to_baseline, flag_velocity", "r02_amount_rule": "amount_ratio_to_avg, flag_amount",
@@ -169,7 +169,7 @@ QUERIES["n01_accounts"] = lambda spark, sf_dir: generator.accounts(spark).drop("
 
 
 def _generated(key: str, mode: str, label: str | None) -> None:
-    wanted = F.col("injected_label").isNull() if label is None else F.col("injected_label") == label
+    wanted = "injected_label is null" if label is None else f"injected_label = '{label}'"
     QUERIES[key] = lambda spark, sf_dir: ntz(_detected(generator.transactions(spark, 5000, mode=mode, n_accounts=100)).where(wanted).select(*names, "speed"))
 
 

@@ -18,10 +18,10 @@ PAIRS = f"""{COUNTRY}, pair AS (SELECT a.code AS from_code, b.code AS to_code, 2
   + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS km FROM country a JOIN country b ON a.code <> b.code)"""
 
 FEATURES = f"""{TX}, {PAIRS},
-o AS (SELECT *, epoch_ms(event_timestamp) AS ms, row_number() OVER w AS rn, lag(location) OVER w AS prev_location, lag(epoch_ms(event_timestamp)) OVER w AS prev_ms,
+o AS (SELECT *, (epoch_us(event_timestamp) // 1000) AS ms, row_number() OVER w AS rn, lag(location) OVER w AS prev_location, lag((epoch_us(event_timestamp) // 1000)) OVER w AS prev_ms,
   count(amount) OVER p AS prior_count, coalesce(avg(amount) OVER p, 0) AS prior_mean FROM tx
-  WINDOW w AS (PARTITION BY account_id ORDER BY epoch_ms(event_timestamp), transaction_id),
-         p AS (PARTITION BY account_id ORDER BY epoch_ms(event_timestamp), transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  WINDOW w AS (PARTITION BY account_id ORDER BY (epoch_us(event_timestamp) // 1000), transaction_id),
+         p AS (PARTITION BY account_id ORDER BY (epoch_us(event_timestamp) // 1000), transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 n AS (SELECT *, rn - min(rn) OVER (PARTITION BY account_id ORDER BY ms RANGE BETWEEN {C.WINDOW_MS} PRECEDING AND CURRENT ROW) + 1 AS velocity_count,
   min(rn) OVER (PARTITION BY account_id ORDER BY ms RANGE BETWEEN {C.WINDOW_MS} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM o),
 heads AS (SELECT account_id, rn, nxt, ms, 1 AS no FROM n WHERE rn = 1

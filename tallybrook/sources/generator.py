@@ -68,27 +68,22 @@ def transactions(
     else:
         low, high = SPEEDS[mode]
         first = F.row_number().over(by_account) == 1
-        rows = rows.withColumn("injected_label", F.when(~(travel & first), F.col("injected_label")).when(~first, F.col("injected_label")))
-        # where an account last was: home, or the country of the travel event just before; that one's own
-        # destination differs from home, and this one's from that
-        was_travel = F.coalesce(F.lag(travel).over(by_account), F.lit(False))
-        away = F.lag(other(F.col("home"))).over(by_account)
-        rows = rows.withColumn("last", F.when(was_travel, away).otherwise(F.col("home")))
-        goal = F.when(travel & was_travel, F.col("home")).when(travel, other(F.col("home"))).otherwise(F.col("home"))
-        twice = F.coalesce(F.lag(travel & was_travel).over(by_account), F.lit(False))
-        rows = rows.withColumns({"location": goal, "twice": twice})
-        rows = rows.withColumn("last", F.lag("location").over(by_account))
-        rows = rows.withColumn("location", F.when(travel & (F.col("last") == F.col("location")), other(F.col("last"))).otherwise(F.col("location"))).withColumn("last", F.lag("location").over(by_account))
-        rows = geo.with_distance(rows, "last", "location")
+        rows = rows.withColumn("injected_label", F.when(~F.coalesce(travel, F.lit(False)) | ~first, F.col("injected_label")))
+        # travel starts where the account is: at home, or where travel just before took it. The second of two goes
+        # home, and one that would then stay where it is is no travel
+        travel = F.coalesce(travel, F.lit(False))
+        follows = F.coalesce(F.lag(travel).over(by_account), F.lit(False))
+        rows = rows.withColumn("location", F.when(travel & ~follows, other(F.col("home"))).otherwise(F.col("home"))).withColumn("last", F.lag("location").over(by_account))
+        rows = geo.with_distance(rows, "last", "location").withColumn("injected_label", F.when(~travel | (F.col("km") > 0), F.col("injected_label")))
         speed = low + (high - low) * u("speed")
-        rows = rows.withColumn("delay", F.when(travel, F.ceil(F.col("km") / speed * 3_600_000)).otherwise(0)).drop("km", "last", "twice")
+        rows = rows.withColumn("delay", F.when(travel & (F.col("km") > 0), F.ceil(F.col("km") / speed * 3_600_000)).otherwise(0)).drop("km", "last")
     # clock: each event is at its base or at the last event's time, whichever is later, plus its delay
     total = F.sum("delay").over(by_account.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("total", total)
     lead = F.max(F.col("base") - (F.col("total") - F.col("delay"))).over(by_account.rowsBetween(Window.unboundedPreceding, 0))
     stamp = F.timestamp_millis((F.col("total") + lead).cast("long"))
     return rows.select(
-        F.sha2(F.concat_ws("-", F.lit(seed), "turn", "part"), 256).alias("transaction_id"), "account_id", "amount", pick(MERCHANTS, u("merchant", "turn", "part")).alias("merchant"),
+        F.concat_ws("-", F.lpad(F.col("turn").cast("string"), 12, "0"), F.lpad(F.col("part").cast("string"), 2, "0"), F.substring(F.sha2(F.concat_ws("-", F.lit(seed), "turn", "part"), 256), 1, 12)).alias("transaction_id"), "account_id", "amount", pick(MERCHANTS, u("merchant", "turn", "part")).alias("merchant"),
         "location", stamp.alias("event_timestamp"), "injected_label",
     )
 
