@@ -48,6 +48,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.cache_size = Tokenizer.from_file(path), cache_size
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -58,7 +59,9 @@ class WordIds(dict):
         if ids is None:
             if len(self.words) >= self.cache_size:
                 self.words.clear()
-            ids = self.words[word] = self.whole(word)
+            # the library's model alone: a word of letters below U+0100 needs no more normalising
+            tokens = self.model.tokenize(pretokens.as_letters(word))
+            ids = self.words[word] = np.asarray([t.id for t in tokens], dtype="<u4").tobytes()
         return ids
 
     def __missing__(self, chunk: str) -> bytes:

@@ -31,3 +31,23 @@ def split(text: str) -> list[str]:
 
 
 latin_split = _LATIN.findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others by the next free letters from U+0100 on."""
+    letters = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    free = 256
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(free)
+            free += 1
+    return letters
+
+
+_LETTERS = _byte_letters()
+
+
+def as_letters(piece: str) -> str:
+    """A pre-token as byte-level models spell it."""
+    return piece.encode().decode("latin-1").translate(_LETTERS)
