@@ -82,7 +82,7 @@ class TokenLengths(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache_size = cache_size
+        self.cache_size, self.model = cache_size, self.tokenizer.model
         self.first = {p: self._length(p) for p in frequent}
         super().__init__(self.first)
 
@@ -90,7 +90,7 @@ class TokenLengths(dict):
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> int:
-        n = self._length(piece)
+        n = len(self.model.tokenize(pretokens.as_letters(piece)))
         if len(piece) <= 4 * MAX_PIECE:
             if len(self) >= len(self.first) + self.cache_size:
                 self.clear()
