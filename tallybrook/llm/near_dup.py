@@ -135,25 +135,46 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep), batch.column("hub").filter(keep)], ["row", "hub"])
 
 
+def _flattened(labels: Table) -> Table:
+    """Replaces each root by its own root until nothing changes; every root has to be a row."""
+    while True:
+        far = labels.df.select(F.col("row").alias("root"), F.col("root").alias("far"))
+        jumped = labels.df.join(far, "root").select("row", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
+        jumped = Table(jumped, "labels")
+        labels.drop()
+        labels = jumped
+        if labels.df.where("moved").isEmpty():
+            return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """row and root, the smallest row it is connected with, for every row in `edges` (row, hub).
 
-    Labels spread along the edges and are then replaced by their labels' labels, until nothing
-    changes; the number of rounds grows with the logarithm of the longest path."""
-    both = Table(edges.select("row", "hub").union(edges.select(F.col("hub").alias("row"), F.col("row").alias("hub"))).distinct(), "edges")
-    labels = Table(both.df.groupBy("row").agg(F.least(F.col("row"), F.min("hub")).alias("root")), "labels")
+    Each row points to the smallest of itself and its neighbours. These pointers form trees, which
+    are flattened by doubling; then a tree becomes its root, and only edges between trees are
+    left. A tree has two rows or more, so rows halve at least from round to round, and the edges of
+    a large group are gone after the first few."""
+    edges = Table(edges.select("row", "hub").distinct(), "edges")
+    found = None
     while True:
-        spread = both.df.join(labels.df.withColumnRenamed("row", "hub"), "hub").groupBy("row").agg(F.min("root").alias("near"))
-        stepped = labels.df.join(spread, "row").select("row", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        stepped = Table(stepped, "labels")
-        jumped = stepped.df.join(stepped.df.select(F.col("row").alias("root"), F.col("root").alias("far")), "root")
-        new = Table(jumped.select("row", "was", F.least("root", "far").alias("root")), "labels")
-        stepped.drop()
-        labels.drop()
-        labels = new
-        if labels.df.where("root <> was").isEmpty():
-            both.drop()
-            return labels.df.select("row", "root")
+        ends = edges.df.union(edges.df.select(F.col("hub").alias("row"), F.col("row").alias("hub")))
+        labels = _flattened(Table(ends.groupBy("row").agg(F.least(F.col("row"), F.min("hub")).alias("root")), "labels"))
+        ends_to = [labels.df.select(F.col("row").alias(c), F.col("root").alias(f"{c}_root")) for c in ("row", "hub")]
+        between = edges.df.join(ends_to[0], "row").join(ends_to[1], "hub").where("row_root <> hub_root")
+        rest = Table(between.select(F.col("row_root").alias("row"), F.col("hub_root").alias("hub")).distinct(), "edges")
+        edges.drop()
+        edges = rest
+        if found is None:
+            found = labels
+        else:
+            further = labels.df.select(F.col("row").alias("root"), F.col("root").alias("far"))
+            joined = Table(found.df.join(further, "root", "left").select("row", F.coalesce("far", "root").alias("root")), "labels")
+            found.drop()
+            labels.drop()
+            found = joined
+        if edges.df.isEmpty():
+            edges.drop()
+            return found.df.select("row", "root")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

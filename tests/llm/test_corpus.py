@@ -151,6 +151,20 @@ def test_near_duplicates_against_all_pairs(spark):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
 
 
+def test_components_against_union_by_hand(spark):
+    draw = np.random.default_rng(4)
+    path = list(draw.permutation(40) + 100)
+    edges = [*zip(range(1, 30), range(30), strict=False), *((k, 30) for k in range(31, 60)), *zip(path, path[1:], strict=False), *draw.integers(200, 300, (60, 2)).tolist(), [500, 500]]
+    edges = [(int(a), int(b)) for a, b in edges]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = near_dup.components(spark.createDataFrame(edges, "row long, hub long")).collect()
+    assert sorted((r.row, r.root) for r in found) == sorted(root.items())
+    assert not near_dup.components(spark.createDataFrame([], "row long, hub long")).collect()
+
+
 def test_large_families_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 200)
     texts = [" ".join([*(f"t{i}" for i in range(40)), f"end{k}"]) for k in range(30)]
