@@ -39,10 +39,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(docs)
-    first = saved(found.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")), "firsts")
-    alone = found.where("n_shingles = 0").select("row")
-    return _only(docs, first.select("row").union(alone))
+    """One row of each component: that of the smallest id, null ids last. Rows without shingles are components of their own."""
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")
+    return _only(docs, saved(near_dup.near_duplicates(docs).groupBy("root").agg(first), "firsts"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

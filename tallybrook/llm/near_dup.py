@@ -263,11 +263,12 @@ def _full_sets(size: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, key: str = "row") -> DataFrame:
-    """row, doc_id, n_shingles and component_id for every row of `docs`, which has to be a table scan.
+    """row, root, doc_id, n_shingles and component_id for every row of `docs`, which has to be a table scan.
 
     A null text, or one without words, has no shingles and is linked with nothing. component_id is
     the smallest doc_id of the rows that a row is connected with, itself included; null ids are
-    not smaller than any, and repeated rows are in one component. An empty table gives no
+    not smaller than any, and repeated rows are in one component. Ids may be null or repeated, so only
+    root, a row of the component, tells components apart. An empty table gives no
     rows. Only doc_id and text are read, `row` numbers the rows as with_row_id() does.
     """
     docs = with_row_id(docs.select("doc_id", "text"), "row")
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rooted = signed.select("row", "doc_id", "n_shingles", "mark").join(joined, "mark", "left").withColumn("root", F.coalesce("root", "row"))
     rooted = saved(rooted.select("row", "doc_id", "n_shingles", "root"), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("row", "doc_id", "n_shingles", "component_id")
+    return rooted.join(smallest, "root").select("row", "root", "doc_id", "n_shingles", "component_id")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

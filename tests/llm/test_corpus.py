@@ -253,3 +253,12 @@ def test_pipeline(spark):
         n = docs.count()
     packed = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
     assert packed.where("piece = 0").count() == n
+
+
+def test_pipeline_keeps_unrelated_rows_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (None, text(4)), (None, "")]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), "ids")
+    kept = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
+    expected = [(None, ""), (None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
