@@ -25,10 +25,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with one id are judged as one text or another alike: all of them go if one is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = quality_classifier.classify(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return _only(docs, quality_classifier.classify(docs, labels).where("predicted = 1"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

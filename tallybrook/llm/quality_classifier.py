@@ -55,7 +55,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.asarray([statistics(t) for t in bytes_of(batch)], dtype=np.float64).reshape(batch.num_rows, STATISTICS)
         values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), STATISTICS).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), values], ["doc_id", "held_out", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), values], ["row", "doc_id", "held_out", "stats"])
 
 
 class KernelMap:
@@ -152,17 +152,17 @@ def fit(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of `docs`.
+    """row, doc_id, held_out, score and predicted of every row of `docs`, which has to be a table scan.
 
     Learns from labelled rows whose crc32(doc_id as text) modulo `folds` is not 0. Null and empty texts
     get the score of zero statistics. Rows with null ids are scored, but have no label; a document with
     several labels is learnt from once for each, null labels are left out. Repeated rows are scored
     each for itself. An empty table gives no rows; without labels every score is near 0.5. Only doc_id and
-    text are read.
+    text are read. `row` numbers the rows as with_row_id() does.
     """
-    docs = docs.select("doc_id", "text", (crc_mod("doc_id", folds) == 0).alias("held_out"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", (crc_mod("doc_id", folds) == 0).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = saved(docs.mapInArrow(_measure, f"doc_id {kind}, held_out boolean, stats array<double>"), "statistics")
+    measured = saved(docs.mapInArrow(_measure, f"row long, doc_id {kind}, held_out boolean, stats array<double>"), "statistics")
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null")
     train = saved(measured.where(~F.col("held_out")).join(marked, "doc_id").select("stats", "quality"), "labelled")
     sent = docs.sparkSession.sparkContext.broadcast(fit(train))
@@ -171,10 +171,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
         for batch in batches:
             score = sent.value(_stats(batch)) if batch.num_rows else np.zeros(0)
             predicted = pa.array((score >= threshold).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), predicted], ["doc_id", "held_out", "score", "predicted"])
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(score), predicted]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "score", "predicted"])
 
-    return measured.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return measured.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row")

@@ -262,3 +262,13 @@ def test_pipeline_keeps_unrelated_rows_of_null_and_repeated_ids(spark):
     kept = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
     expected = [(None, ""), (None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))]
     assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
+
+
+def test_pipeline_classifies_rows_not_ids(spark, tmp_path):
+    draw = random.Random(6)
+    text = lambda good: " ".join(("%s" if good else "%s***") % "".join(draw.choices("etaoin", k=5)) for _ in range(50))
+    rows = [(i, text(i % 2)) for i in range(300)] + [(None, text(0)), (None, text(1)), (900, text(0)), (900, text(1))]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), "classified")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_classifier_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(((i, t) for i, t in rows if "*" not in t), key=str)
