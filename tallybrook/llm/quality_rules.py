@@ -25,8 +25,13 @@ STEPS = 2
 LEAST_GROUP = 200
 #: Squared Mahalanobis distance beyond which a document is rejected: the 1 - 1e-4 quantile of chi-square with 5 degrees.
 CUTOFF = 26.0
-#: Added to the variances: spreads smaller than these say nothing about quality.
-FLOORS = (0.3, 0.5, 0.25, 0.25, 0.25)
+#: Added to the size of a text before a share of it is taken, so that short texts' shares, where a
+#: few cases say little, are drawn to 0: 25 words, 25 lines, and 25 repeats of 10 words (two windows).
+PRIOR = {"n_symbols": 25.0, "n_dup_lines": 25.0, "n_repeat_words": 250.0}
+#: Squares of these are added to the variances: spreads smaller than these say nothing about quality. Those of
+#: shares are the noise of counting: the root of a count varies by 1/2, so the root of a count over
+#: n + 25 by at most 1 / (2 * 5), whatever the text's length; repeats count by tens.
+FLOORS = (0.3, 0.5, 0.1, 0.1, 0.1)
 DIMENSIONS = len(FLOORS)
 
 
@@ -72,9 +77,9 @@ def base_counts(text: Column) -> Column:
 
 def vector() -> list[Column]:
     """The counts as numbers of about normal spread. Mean word length is drawn to 5 in short texts,
-    where it says little."""
+    where it says little, and shares are drawn to 0."""
     n = F.col("n_words")
-    share = lambda part, whole: F.sqrt(F.col(part) / F.greatest(F.col(whole), F.lit(1)))
+    share = lambda part, whole: F.sqrt(F.col(part) / (F.col(whole) + PRIOR[part]))
     return [F.log1p(n), (F.col("word_chars") + 250.0) / (n + 50.0), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 

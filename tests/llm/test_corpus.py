@@ -272,3 +272,19 @@ def test_pipeline_classifies_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = corpus_pipeline.quality_classifier_stage(spark, docs, str(tmp_path)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted(((i, t) for i, t in rows if "*" not in t), key=str)
+
+
+def test_one_defect_is_enough_to_be_an_outlier(spark):
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choices("etaoinshr", k=draw.randint(2, 8)))
+    clean = lambda: "\n".join(" ".join(word() for _ in range(draw.randint(8, 30))) for _ in range(draw.randint(4, 20)))
+    texts = [clean() for _ in range(400)]
+    texts.append("\n".join(f"{' '.join(word() for _ in range(8))}\nread more" for _ in range(30)))
+    texts.append(" | ".join(clean().split()))
+    texts.append("read more\nread more\n" + clean())
+    texts.append(" | ".join(word() for _ in range(3)) + " " + clean())
+    docs = saved(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"), "outliers")
+    found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [found[k].kept for k in range(400, 404)] == [False, False, True, True]
+    assert sum(found[k].kept for k in range(400)) >= 398
