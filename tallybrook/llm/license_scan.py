@@ -7,16 +7,21 @@ without an anchor has no feature, and is known to be of no family before any n-g
 probability from which a family is named is calibrated on variants held out of training. A
 named family is confirmed if enough of one wording's words are in the paragraph.
 
+A paragraph is a line, or a run of lines up to one without words, as wordings are wrapped. A run is scanned
+if it holds enough of a wording's words to be confirmed. It counts in place of its
+lines where it confirms a longer wording than they do; else they count and it does not.
+
 The weights are one small table of features, of at most ``FEATURES`` rows, whatever the corpus.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import documents, saved, with_row_id
@@ -113,19 +118,28 @@ def _slices(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """row, line, words of the paragraphs (lines) that have an anchor; no other can be named."""
+    """row, line, last, words of the paragraphs that have an anchor; no other can be named. They are
+    the lines from `line` to `last`: single ones, and runs of several that hold enough of a wording."""
     split = lambda x: F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), "")
     anchors = _strings(model.anchors)
     able = docs.where(F.arrays_overlap(split(F.col("text")), anchors))
     lines = able.select("row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return saved(lines.select("row", "line", split(F.col("content")).alias("words")), "paragraphs").where(F.arrays_overlap("words", anchors))
+    lines = saved(lines.select("row", "line", split(F.col("content")).alias("words")), "lines")
+    gaps = F.sum((F.size("words") == 0).cast("int")).over(Window.partitionBy("row").orderBy("line"))
+    numbered = lines.withColumn("run", gaps).where(F.size("words") > 0)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "words")))
+    runs = numbered.groupBy("row", "run").agg(F.min("line").alias("line"), F.max("line").alias("last"), F.flatten(F.transform(ordered, lambda x: x["words"])).alias("words"))
+    runs = runs.where((F.col("last") > F.col("line")) & F.arrays_overlap("words", anchors)).select("row", "line", "last", "words", F.array_distinct("words").alias("held"))
+    enough = [F.size(F.array_intersect("held", _strings(t))) >= CONFIRM * len(t) for _, t in model.templates]
+    runs = runs.where(functools.reduce(Column.__or__, enough)).drop("held")
+    return saved(lines.where(F.arrays_overlap("words", anchors)).select("row", "line", F.col("line").alias("last"), "words").union(runs), "paragraphs")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """row, line, family, probability, similarity and confirmed of the paragraphs with a licence's words.
+    """row, line, last, family, probability, similarity, covered and confirmed of the paragraphs with a licence's words.
 
     `docs` is a table scan with `row` from with_row_id(). A null or empty text has no paragraph. Family is
-    `unknown` where no family reaches the calibrated probability.
+    `unknown` where no family reaches the calibrated probability. covered: words of the longest wording that is confirmed.
     """
     model = model or Model()
     spark = docs.sparkSession
@@ -134,34 +148,45 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = [(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)]
     weights = spark.createDataFrame(rows, "gram string, " + ", ".join(f"{c} double" for c in columns))
     slices = [_slices(F.col("words"), n) for n in range(1, GRAMS + 1)]
-    grams = found.select("row", "line", F.explode(F.array_distinct(F.concat(*slices))).alias("gram"))
+    grams = found.select("row", "line", "last", F.explode(F.array_distinct(F.concat(*slices))).alias("gram"))
     # the weights are at most FEATURES rows of a few dozen numbers
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("row", "line").agg(*(F.sum(c).alias(c) for c in columns))
-    scored = found.join(sums, ["row", "line"], "left")
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("row", "line", "last").agg(*(F.sum(c).alias(c) for c in columns))
+    scored = found.join(sums, ["row", "line", "last"], "left")
     odds = F.array(*(F.exp(F.coalesce(c, F.lit(0.0)) + float(b)) for c, b in zip(columns, model.bias, strict=True)))
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     best = F.array_max(F.slice("odds", 1, len(columns) - 1))
     scored = scored.withColumn("odds", odds).withColumn("probability", best / total)
     named = F.when(F.col("probability") >= model.least, F.element_at(_strings(model.families), F.array_position("odds", best).cast("int"))).otherwise(UNKNOWN)
     scored = scored.withColumn("family", named)
-    alike = F.greatest(
-        F.lit(0.0),
-        *(F.when(F.col("family") == f, F.size(F.array_intersect("words", _strings(t))) / float(len(t))).otherwise(0.0) for f, t in model.templates),
-    )
-    scored = scored.withColumn("similarity", alike)
-    return scored.select("row", "line", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    held = [F.when(F.col("family") == f, F.size(F.array_intersect("words", _strings(t)))).otherwise(0) for f, t in model.templates]
+    scored = scored.withColumn("held", F.array(*held))
+    sizes = [len(t) for _, t in model.templates]
+    alike = F.array_max(F.zip_with("held", F.array(*map(F.lit, sizes)), lambda n, size: n / size.cast("double")))
+    enough = F.zip_with("held", F.array(*map(F.lit, sizes)), lambda n, size: F.when(n >= CONFIRM * size, n).otherwise(0))
+    scored = scored.withColumn("similarity", alike).withColumn("covered", F.array_max(enough))
+    return scored.select("row", "line", "last", "family", "probability", "similarity", "covered", (F.col("covered") > 0).alias("confirmed"))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """Of confirmed paragraphs, those runs that confirm a longer wording than each of their lines does, and the lines in no such run."""
+    lines = found.where("line = last").select(F.col("row"), F.col("line").alias("at"), F.col("covered").alias("by_line"))
+    most = found.where("line < last").join(lines, "row").where("at between line and last").groupBy("row", "line", "last").agg(F.max("by_line").alias("by_line"))
+    runs = found.where("line < last").join(most, ["row", "line", "last"], "left").where("covered > coalesce(by_line, 0)").drop("by_line")
+    within = runs.select(F.col("row").alias("in_row"), F.col("line").alias("begin"), F.col("last").alias("end"))
+    single = found.where("line = last").join(within, (F.col("row") == F.col("in_row")) & F.col("line").between(F.col("begin"), F.col("end")), "left_anti")
+    return single.unionByName(runs)
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, family, probability, similarity, line and n_paragraphs for every row of `docs`, a table scan.
 
     family is that of the document's most probable confirmed paragraph (the first one, of equals) and
-    line its number; `none` without one, then the other columns are null and n_paragraphs 0.
+    line the number of its first line; `none` without one, then the other columns are null and n_paragraphs 0.
     Null and empty texts have none. Repeated rows are scanned each for itself; an empty table gives no
     rows. Only doc_id and text are read.
     """
     docs = with_row_id(docs.select("doc_id", "text"), "row")
-    found = scan(docs, model).where(F.col("confirmed") & (F.col("family") != UNKNOWN))
+    found = _counted(saved(scan(docs, model).where(F.col("confirmed") & (F.col("family") != UNKNOWN)), "confirmed"))
     first = F.struct(-F.col("probability"), F.col("line"))
     best = found.groupBy("row").agg(
         F.min_by("family", first).alias("family"), F.max("probability").alias("probability"), F.min_by("similarity", first).alias("similarity"),

@@ -288,3 +288,34 @@ def test_one_defect_is_enough_to_be_an_outlier(spark):
     assert not any(r.base_failed for r in found.values())
     assert [found[k].kept for k in range(400, 404)] == [False, False, True, True]
     assert sum(found[k].kept for k in range(400)) >= 398
+
+
+def test_wrapped_licences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    wrapped = {"mit": mit, "bsd": bsd, "gpl": gpl, "lgpl": lgpl, "mpl-2.0": mpl}
+    texts = [*wrapped.values(), *(f"# A tool\n#\n# {x.replace(chr(10), chr(10) + '# ')}\n#\ncode" for x in wrapped.values())]
+    texts += ["The weather was fine.\nReleased under the MIT License.\nWe left at noon.\nReleased under the BSD License.\nAnd then home."]
+    texts += ["The public was\nfree to use the software\nof this program, and to\nmodify the terms of it."]
+    docs = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "wrapped")
+    found = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [(found[i].family, found[i].line) for i in range(10)] == [(f, k) for k in (0, 2) for f in wrapped]
+    assert all(found[i].n_paragraphs == 1 for i in range(10))
+    assert found[10].n_paragraphs == 2 and found[10].line in (1, 3) and found[11].family == "none"
