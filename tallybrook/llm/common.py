@@ -9,6 +9,7 @@ import uuid
 import weakref
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 10_000
 SALTS = 32
 
+#: Files that rows are numbered by; their table is broadcast, 16 bytes a file. Tables of more files are written again first.
+FILES = 100_000
+ROWS_A_FILE = 1 << 40
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir``, or a temporary one where unset."""
+    """The shared folder for written tables: ``spark.checkpoint.dir``. A temporary one is made where it is unset and
+    everything runs in one process; on a cluster no machine would see what another wrote there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tallybrook-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -78,10 +86,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
-def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number for each row. The input has to be a table scan, so that every read of it,
-    a repeated task's too, sees the same partitions and gives the same numbers."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, name: str = "_row", columns: list[str] | None = None) -> DataFrame:
+    """The columns (all, if none are named) and a number for each row: its file's place among the table's files, and its place in the file.
+
+    It is the same in every read, however the files are split. That needs a scan of Parquet files, at most ``FILES``;
+    anything else is written once, and read from there."""
+    meta, own = None, [F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]
+    if len(df.inputFiles()) <= FILES:
+        try:
+            meta = df.metadataColumn("_metadata")
+            df.select(meta["row_index"])
+        except AnalysisException:  # no scan, or of files that do not number their rows
+            meta = None
+    if meta is None:
+        table = saved(df.select(*own), "numbered")
+        # a table's files are named by the task that wrote them; each wrote one
+        part = F.regexp_extract(table.metadataColumn("_metadata")["file_name"], "part-([0-9]+)-", 1).cast("long")
+        return table.select(*own, (part * ROWS_A_FILE + table.metadataColumn("_metadata")["row_index"]).alias(name))
+    seen = df.select(*own, F.xxhash64(meta["file_path"]).alias("_path"), meta["row_index"].alias("_index"))
+    # one row for each of at most FILES files, of which only the number of rows is read here
+    found = sorted(r.f for r in df.select(meta["file_path"].alias("f")).distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(found)), "_file long, path string").select("_file", F.xxhash64("path").alias("_path"))
+    joined = seen.join(F.broadcast(files), "_path")
+    return joined.select(*own, (F.col("_file") * ROWS_A_FILE + F.col("_index")).alias(name))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

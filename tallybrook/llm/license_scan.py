@@ -185,7 +185,7 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null and empty texts have none. Repeated rows are scanned each for itself; an empty table gives no
     rows. Only doc_id and text are read.
     """
-    docs = with_row_id(docs.select("doc_id", "text"), "row")
+    docs = with_row_id(docs, "row", ["doc_id", "text"])
     found = _counted(saved(scan(docs, model).where(F.col("confirmed") & (F.col("family") != UNKNOWN)), "confirmed"))
     first = F.struct(-F.col("probability"), F.col("line"))
     best = found.groupBy("row").agg(

@@ -108,9 +108,9 @@ def dedup_lines(docs: DataFrame, words: int = LEAST_WORDS) -> DataFrame:
     others. An empty table gives no rows.
     """
     own = docs.columns
-    numbered = with_row_id(docs.select("doc_id", "text"), "row")
-    gone = later_copies(numbered, words).select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    joined = with_row_id(docs, "_row").join(gone, "_row", "left")
+    numbered = with_row_id(docs, "_row")
+    gone = later_copies(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), words).select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    joined = numbered.join(gone, "_row", "left")
     with_words = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     parts = F.split("text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i))

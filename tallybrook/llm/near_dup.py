@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     root, a row of the component, tells components apart. An empty table gives no
     rows. Only doc_id and text are read, `row` numbers the rows as with_row_id() does.
     """
-    docs = with_row_id(docs.select("doc_id", "text"), "row")
+    docs = with_row_id(docs, "row", ["doc_id", "text"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = saved(
         docs.mapInArrow(_sign(size), f"row long, doc_id {kind}, n_shingles long, mark binary, first array<long>, second array<long>, sketch binary"), "signatures"

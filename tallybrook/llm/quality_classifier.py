@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import bytes_of, crc_mod, documents, saved
+from tallybrook.llm.common import bytes_of, crc_mod, documents, saved, with_row_id
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     each for itself. An empty table gives no rows; without labels every score is near 0.5. Only doc_id and
     text are read. `row` numbers the rows as with_row_id() does.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", (crc_mod("doc_id", folds) == 0).alias("held_out"))
+    docs = with_row_id(docs, "row", ["doc_id", "text"]).select("row", "doc_id", "text", (crc_mod("doc_id", folds) == 0).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     measured = saved(docs.mapInArrow(_measure, f"row long, doc_id {kind}, held_out boolean, stats array<double>"), "statistics")
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import SPACE, documents, lookup_join, saved
+from tallybrook.llm.common import SPACE, documents, lookup_join, saved, with_row_id
 
 WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
@@ -157,7 +157,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     the base rules decide. Repeated rows are judged each for itself, an empty table gives no
     rows. Only doc_id, text, lang and source are read. `row` numbers the rows as with_row_id() does.
     """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), base_counts(F.col("text")).alias("c"))
+    keyed = with_row_id(docs, "row", ["doc_id", "text", "lang", "source"]).select("row", "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), base_counts(F.col("text")).alias("c"))
     counted = saved(keyed, "counts").select(
         "row", "doc_id", "lang", "source", "c.n_words", "c.word_chars", "c.n_symbols", "c.of_lines.n_lines", "c.of_lines.n_dup_lines", "c.n_repeat_words"
     )

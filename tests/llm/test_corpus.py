@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallybrook.llm import bpe_transducer, brown_lm, license_scan, line_dedup, near_dup, packing, pretokens, quality_classifier, quality_rules, token_counts, topk_search
-from tallybrook.llm.common import saved, tokenizer_path
+from tallybrook.llm.common import lookup_join, saved, tokenizer_path, with_row_id
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -319,3 +319,23 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/."""
     assert [(found[i].family, found[i].line) for i in range(10)] == [(f, k) for k in (0, 2) for f in wrapped]
     assert all(found[i].n_paragraphs == 1 for i in range(10))
     assert found[10].n_paragraphs == 2 and found[10].line in (1, 3) and found[11].family == "none"
+
+
+def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path):
+    spark.range(5000).withColumn("row", F.lit(1)).withColumn("_metadata", F.lit(2)).repartition(3).write.parquet(f"{tmp_path}/a b.parquet")
+    found, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = with_row_id(spark.read.parquet(f"{tmp_path}/a b.parquet"), "_n")
+        assert rows.columns == ["id", "row", "_metadata", "_n"]
+        found.append(sorted(map(tuple, rows.select("id", "_n").collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and len({n for _, n in found[0]}) == 5000
+    assert with_row_id(spark.range(10)).select("_row").distinct().count() == 10
+
+
+def test_lookups_above_the_limit(spark):
+    big, small = spark.range(3000).select((F.col("id") % 7).alias("k"), "id"), spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner"):
+        few, many = (sorted(map(tuple, lookup_join(big, small, ["k"], how, limit).select("id", "v").collect()), key=str) for limit in (10, 2))
+        assert few == many and len(few) == (3000 if how == "left" else big.where("k < 5").count())
