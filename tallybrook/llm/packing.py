@@ -12,6 +12,7 @@ among the pieces of its length, which comes from counts per task and length.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,8 +29,6 @@ from tallybrook.llm import pretokens
 from tallybrook.llm.common import documents, saved, texts_of, tokenizer_path
 
 CAPACITY = 2048
-#: Steps of the local search; planning takes no longer on a larger corpus.
-SEARCH_STEPS = 20_000
 CACHE_SIZE = 400_000
 
 # ---------------------------------------------------------------- tokens
@@ -185,75 +184,146 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum(by_slack.values(), Counter())
 
 
-def _step(low: Contents, high: Contents, slack: int) -> tuple[Counter, Counter] | None:
-    """What low gives and what it gets back, so that high gains as much as it can within its slack."""
-    best, found = 0, None
-    for a, n in low:
-        if best < a <= slack:
-            best, found = a, (Counter({a: 1}), Counter())
-        for b, _ in high:
-            if best < a - b <= slack:
-                best, found = a - b, (Counter({a: 1}), Counter({b: 1}))
-        for c, m in low:
-            if c > a or (c == a and n < 2):
-                continue
-            for b, _ in high:
-                if best < a + c - b <= slack:
-                    best, found = a + c - b, (Counter([a, c]), Counter({b: 1}))
-        if best == slack:
-            break
-    return found
-
-
-def local_search(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing can go below. For each k up to half a bin: pieces longer than capacity - k have a bin
+    to themselves, the other ones longer than half have one each, and what these leave may hold the rest from k on."""
+    counts = np.zeros(capacity + 2, dtype=np.int64)
+    for length, n in histogram.items():
+        counts[length] += n
+    number, tokens = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 2))
+    half, most = capacity // 2, -(-int(tokens[-1]) // capacity)
+    for k in range(1, half + 1):
+        apart, halves = int(number[capacity] - number[capacity - k]), int(number[capacity - k] - number[half])
+        left = halves * capacity - int(tokens[capacity - k] - tokens[half])
+        small = int(tokens[half] - tokens[k - 1])
+        most = max(most, apart + halves + max(0, -(-(small - left) // capacity)))
+    return most
+
+
+class _Open:
+    """The classes of underfull bins, with their numbers, and for each amount (a piece's length, or two of a bin's
+    together) the emptiest class that can give it."""
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.capacity, self.bins = capacity, Counter()
+        self.givers: list[list[tuple[int, Contents]]] = [[] for _ in range(capacity + 1)]
+        self.emptiest = np.full(capacity + 1, capacity + 1, dtype=np.int64)
+        self.known: set[Contents] = set()
+        for contents, n in bins.items():
+            self.add(contents, n)
+
+    def add(self, contents: Contents, n: int) -> None:
+        if n < 0 and self.bins[contents] + n < 0:
+            raise ValueError("there are not so many bins of a class")
+        self.bins[contents] += n
+        if not self.bins[contents]:
+            del self.bins[contents]
+        full = fill(contents)
+        if contents in self.known or full >= self.capacity or n <= 0 or not contents:
+            return
+        self.known.add(contents)
+        amounts = {a for a, _ in contents}
+        amounts |= {a + c for i, (a, n_a) in enumerate(contents) for c, _ in contents[i if n_a > 1 else i + 1 :]}
+        for t in amounts:
+            heapq.heappush(self.givers[t], (full, contents))
+            self.emptiest[t] = self.givers[t][0][0]
+
+    def giver(self, t: int, taker: Contents) -> Contents | None:
+        """The emptiest class that gives t, which is the taker's own only if there are two such bins."""
+        heap = self.givers[t]
+        while heap and heap[0][1] not in self.bins:
+            gone = heapq.heappop(heap)[1]
+            self.known.discard(gone)  # it is listed anew if there are such bins again
+        self.emptiest[t] = heap[0][0] if heap else self.capacity + 1
+        if not heap:
+            return None
+        if heap[0][1] != taker or self.bins[taker] > 1:
+            return heap[0][1]
+        return min((x for x in heap if x[1] in self.bins and x[1] != taker), default=(0, None))[1]
+
+    def step(self, high: Contents) -> tuple[Contents, int, int] | None:
+        """The giver, what it gives and what it gets, of the step that raises the sum of squared fills most."""
+        full = fill(high)
+        slack = self.capacity - full
+        while True:
+            best, found = 0, None
+            for b in (0, *(x for x, _ in high)):
+                upto = min(self.capacity, b + slack)
+                low = self.emptiest[b + 1 : upto + 1]
+                gained = np.arange(1, len(low) + 1)
+                worth = np.where(low <= full, gained * (full - low + gained), 0)
+                at = int(worth.argmax()) if len(worth) else 0
+                if len(worth) and worth[at] > best:
+                    best, found = int(worth[at]), (b + 1 + at, b)
+            if found is None:
+                return None
+            t, b = found
+            before = self.emptiest[t]
+            giver = self.giver(t, high)
+            if giver is not None and fill(giver) == before:
+                return giver, t, b
+            if self.emptiest[t] == before:  # the taker is the emptiest, and the only bin of its class
+                return self._without(high)
+
+    def _without(self, high: Contents) -> tuple[Contents, int, int] | None:
+        """As step(), where the taker itself is the only bin that gives some amount: each amount is looked up."""
+        full, best, found = fill(high), 0, None
+        for b in (0, *(x for x, _ in high)):
+            for t in np.flatnonzero(self.emptiest[b + 1 : min(self.capacity, b + self.capacity - full) + 1] <= full) + b + 1:
+                giver = self.giver(int(t), high)
+                if giver is None or fill(giver) > full:
+                    continue
+                worth = int(t - b) * int(full - fill(giver) + t - b)
+                if worth > best:
+                    best, found = worth, (giver, int(t), b)
+        return found
+
+
+def _parts(contents: Contents, t: int) -> Counter:
+    """The piece of length t, or two pieces of t together."""
+    held = dict(contents)
+    if t in held:
+        return Counter({t: 1})
+    return next(Counter([a, t - a]) for a, n in contents if t - a in held and (t != 2 * a or n > 1))
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Moves, one-for-one and two-for-one exchanges between underfull bins: pieces go from the
     emptier to the fuller bin, so each step raises the sum of squared fills; empty bins go.
-    It ends at the least number of bins there can be, where no step is left, or after `steps`."""
-    bins = Counter(bins)
-    least = -(-sum(fill(c) * n for c, n in bins.items()) // capacity)
-    total = sum(bins.values())
-    barren: set[tuple[Contents, Contents]] = set()
-    while steps > 0 and total > least:
-        open_ = sorted((c for c in bins if fill(c) < capacity), key=lambda c: (fill(c), c))
+    It ends at the least number of bins there can be, or where no step is left."""
+    histogram: Counter = Counter()
+    for contents, n in bins.items():
+        for length, each in contents:
+            histogram[length] += n * each
+    least, total = least_bins(histogram, capacity), sum(bins.values())
+    state = _Open(bins, capacity)
+    moved = True
+    while moved and total > least:
         moved = False
-        for low in open_[:64]:
-            for high in reversed(open_):
-                same = high == low
-                if fill(high) < fill(low) or (same and bins[low] < 2) or (low, high) in barren:
-                    continue
-                steps -= 1
-                change = _step(low, high, capacity - fill(high))
-                if change is None:
-                    barren.add((low, high))
-                    continue
-                given, got = change
-                n = bins[low] // 2 if same else min(bins[low], bins[high])
+        for high in sorted((c for c in state.bins if fill(c) < capacity), key=lambda c: (-fill(c), c)):
+            while high in state.bins and total > least and fill(high) < capacity and (change := state.step(high)):
+                low, t, b = change
+                n = state.bins[high] // 2 if low == high else min(state.bins[low], state.bins[high])
                 new_low, new_high = low, high
-                for k, v in (given - got).items():
+                for k, v in _parts(low, t).items():
                     new_low, new_high = _added(new_low, k, -v), _added(new_high, k, v)
-                for k, v in (got - given).items():
-                    new_low, new_high = _added(new_low, k, v), _added(new_high, k, -v)
+                if b:
+                    new_low, new_high = _added(new_low, b, 1), _added(new_high, b, -1)
                 for c, d in ((low, -n), (high, -n), (new_low, n), (new_high, n)):
-                    bins[c] += d
+                    state.add(c, d)
                 if not new_low:
-                    total -= bins.pop(new_low)
-                bins += Counter()
-                moved = True
-                break
-            if moved or steps <= 0:
-                break
-        if not moved:
-            break
-    return bins
+                    total -= state.bins.pop(new_low)
+                moved, high = True, new_high
+    return state.bins
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> dict[int, np.ndarray]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     """For each length, spans of ranks as rows of (first rank, first bin, number of bins, pieces a bin,
     offset of the first of them). Spans of a length follow one another."""
     spans: dict[int, list] = defaultdict(list)
     used: Counter = Counter()
     first = 0
-    for contents, n in sorted(local_search(best_fit(histogram, capacity), capacity, steps).items()):
+    for contents, n in sorted(local_search(best_fit(histogram, capacity), capacity).items()):
         offset = 0
         for length, each in contents:
             spans[length].append((used[length], first, n, each, offset))
@@ -265,7 +335,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARC
 
 # ---------------------------------------------------------------- the operator
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset, for every row of `docs`.
 
     Null texts count as empty: their one piece is the end id. Rows with equal ids are packed each for
@@ -275,7 +345,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     cut = saved(pieces(docs, path, end_id, capacity), "pieces")
     counts = saved(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    spans = docs.sparkSession.sparkContext.broadcast(plan(histogram, capacity, steps))
+    spans = docs.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = cut.join(starts, ["task", "length"]).withColumn("rank", F.col("before") + F.col("rank_in_task"))

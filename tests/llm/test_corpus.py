@@ -191,6 +191,65 @@ def test_packing():
     assert sum(packing.local_search(stuck, 10).values()) == 2
 
 
+def least_by_trial(items, capacity):
+    """The least number of bins, by trying every packing."""
+    best = [len(items)]
+
+    def place(i, bins):
+        if len(bins) < best[0]:
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+                place(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+            place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_every_packing():
+    draw, short, still = random.Random(1), 0, 0
+    for _ in range(600):
+        capacity = draw.choice([10, 20, 30])
+        items = sorted((draw.randint(2, capacity * 2 // 3) for _ in range(draw.randint(5, 10))), reverse=True)
+        first = packing.best_fit(dict(Counter(items)), capacity)
+        found, least = sum(packing.local_search(first, capacity).values()), least_by_trial(items, capacity)
+        assert packing.least_bins(Counter(items), capacity) <= least <= found <= sum(first.values())
+        short, still = short + (sum(first.values()) > least), still + (found > least)
+    assert short >= 8 and still <= short // 3
+
+
+def test_no_step_is_left():
+    """Where the search ends above the bound, no move or exchange of one or two pieces for one raises the sum of squares."""
+    draw = random.Random(5)
+    for _ in range(30):
+        histogram = dict(Counter(draw.randint(20, 55) for _ in range(60)))
+        bins = packing.local_search(packing.best_fit(histogram, 100), 100)
+        if sum(bins.values()) == packing.least_bins(histogram, 100):
+            continue
+        for low in bins:
+            held = [k for k, n in low for _ in range(n)]
+            for high in bins:
+                if packing.fill(low) <= packing.fill(high) < 100 and (low != high or bins[low] > 1):
+                    gives = {*held, *(held[i] + held[j] for i in range(len(held)) for j in range(i))}
+                    assert not any(0 < t - b <= 100 - packing.fill(high) for t in gives for b in (0, *dict(high)))
+
+
+def test_local_search_goes_through_pack(spark):
+    tokens = [5, 5, 5, 6, 7, 10]  # best fit makes three sequences of at most 20 of them
+    docs = saved(spark.createDataFrame([(i, " ".join(["a"] * (n - 1))) for i, n in enumerate(tokens)], "doc_id long, text string"), "swaps")
+    assert sum(packing.best_fit(Counter(tokens), 20).values()) == 3
+    bins = defaultdict(list)
+    for r in packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=20).collect():
+        assert r.length == tokens[r.doc_id] and (r.piece, r.start) == (0, 0)
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(bins) == 2
+    for places in bins.values():
+        places.sort()
+        assert all(at == sum(n for _, n in places[:i]) for i, (at, _) in enumerate(places)) and sum(n for _, n in places) <= 20
+
+
 def test_packed_places(docs):
     rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json")).collect()
     library, bins = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), defaultdict(list)
