@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -152,3 +154,24 @@ def tokenizer_path(name: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _sums(of):
+    """One row a task: the sum of what `of` makes of its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = of(batch)
+                total = part if total is None else total + part
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([] if total is None else [np.asarray(total, dtype="<f8").tobytes()], pa.binary())})
+
+    return run
+
+
+def tree_sum(df: DataFrame, of, size: int, width: int = 32) -> np.ndarray:
+    """The sum over all rows, added up by tasks, then by `width` tasks, and last on the driver."""
+    again = _sums(lambda batch: sum(np.frombuffer(x, dtype="<f8") for x in batch.column("sums").to_pylist()))
+    parts = df.mapInArrow(_sums(of), "sums binary").repartition(width).mapInArrow(again, "sums binary")
+    return sum((np.frombuffer(r.sums, dtype="<f8") for r in parts.collect()), np.zeros(size))

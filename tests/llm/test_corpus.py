@@ -286,12 +286,72 @@ def test_language_model(spark):
     kinds = [[f"{k}{i}" for i in range(30)] for k in "abc"]
     texts = [" ".join(draw.choice(kinds[(i + j) % 3]) for j in range(40)) for i in range(120)]
     docs = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "lm")
-    rows = brown_lm.score(docs).collect()
-    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out) * 0.9
-    counts = np.zeros((6, 6), dtype=np.int64)
-    for a in range(6):
-        counts[a, [(a + 1) % 2 * 3, (a + 1) % 2 * 3 + 1, (a + 1) % 2 * 3 + 2]] = 5
-    assert len(set(brown_lm.exchange(counts, 2))) <= 2
+    rows = brown_lm.score(docs, classes=8).collect()
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out) * 0.8
+    # the words follow one another in three kinds; those outside the core find theirs by their neighbours
+    found = brown_lm.score(docs, core=40, classes=8, frequent=1).collect()
+    assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out) * 0.8
+
+
+def test_exchange_ends_where_no_move_is_better():
+    def likelihood(counts, of):
+        table = np.eye(2)[of].T @ counts @ np.eye(2)[of]
+        logs = lambda x: (x * np.log(np.where(x > 0, x, 1))).sum()
+        return logs(table) - logs(table.sum(axis=1)) - logs(table.sum(axis=0))
+
+    draw = np.random.default_rng(1)
+    for _ in range(50):
+        counts = draw.integers(0, 20, (6, 6)) * (draw.random((6, 6)) < 0.7)
+        found = brown_lm.exchange(counts, 2)
+        for w in range(6):
+            other = found.copy()
+            other[w] = 1 - other[w]
+            assert likelihood(counts, other) <= likelihood(counts, found) + 1e-4 * counts.sum()
+
+
+@pytest.mark.parametrize(("core", "frequent"), [(500, 500), (6, 2), (2, 1)])
+def test_language_model_against_brute_force(spark, docs, core, frequent):
+    """Counts and base score by hand; the score from the vocabulary's classes, transitions counted anew."""
+    draw = random.Random(11)
+    texts = [" ".join(f"W{min(draw.randint(0, 40), draw.randint(0, 40))}" for _ in range(draw.randint(0, 60))) for _ in range(80)]
+    texts += [None, "", "never seen again", "w1 " * 3000]
+    small = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "brute")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tokens = [[*WORD.findall((t or "").lower()), "\n"] for t in texts]
+    counts = Counter(w for h, ws in zip(held, tokens, strict=True) if not h for w in ws)
+    total, distinct, classes = sum(counts.values()), len(counts), 5
+    model, rest = brown_lm.fit(small.where(~(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)), core, classes, frequent)
+    class_of = {w.decode(): int(k) for w, k in zip(model.words, model.classes, strict=True)}
+    for r in rest.df.collect():
+        assert r.c == counts[bytes(r.word).decode()] and class_of.setdefault(bytes(r.word).decode(), r["class"]) == r["class"]
+    assert set(class_of) == set(counts)
+    sizes = Counter(model.other for _ in range(1))
+    for w, k in class_of.items():
+        sizes[k] += counts[w] + 1
+    kinds = [[class_of.get(w, model.other) for w in ws] for ws in tokens]
+    moves = Counter((a, b) for h, ks in zip(held, kinds, strict=True) if not h for a, b in zip([class_of["\n"], *ks], ks, strict=False))
+    out = Counter()
+    for (a, _), n in moves.items():
+        out[a] += n
+    rows = {r.doc_id: r for r in brown_lm.score(small, core=core, classes=classes, frequent=frequent).collect()}
+    assert len(rows) == len(texts)
+    for i, (ws, ks) in enumerate(zip(tokens, kinds, strict=True)):
+        r = rows[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in counts for w in ws), total)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws))
+        own = sum(np.log10((counts[w] + 1) / sizes[k]) for w, k in zip(ws, ks, strict=True))
+        own += sum(np.log10((moves[a, b] + 1) / (out[a] + classes)) for a, b in zip([class_of["\n"], *ks], ks, strict=False))
+        assert r.score == pytest.approx(own)
+
+
+def test_words_outside_the_core_join_the_likeliest_class():
+    draw = np.random.default_rng(2)
+    table, before, after = draw.integers(0, 50, (4, 4)).astype(float), draw.integers(0, 3, (30, 4)), draw.integers(0, 3, (30, 4))
+    before[0] = after[0] = 0
+    t = table + 0.5
+    for w, found in enumerate(brown_lm.best_classes(before, after, table, 3)):
+        gains = [sum(before[w, j] * np.log(t[j, k] / t[:, k].sum()) + after[w, j] * np.log(t[k, j] / t[k].sum()) for j in range(4)) for k in range(4)]
+        assert found == (int(np.argmax(gains)) if w else 3)
 
 
 def test_classifier_tells_noise_apart(spark):
