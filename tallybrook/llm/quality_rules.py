@@ -1,16 +1,23 @@
 """Operator 3: quality rules, with robust multivariate outliers. DataFrame functions only.
 
 Each document gets counts over its whole text. Documents that pass the base rules are compared, as
-vectors of transformed counts, with others of their language and source: a minimum-covariance-
-determinant estimate (concentration steps from the groups' medians) gives a centre and a covariance
-that outliers do not sway, and documents beyond a Mahalanobis distance are rejected. Groups that are
-too small use their language's estimate. All sums are pre-aggregated in the tasks, so a source with
-a third of all rows is summed where its rows are.
+vectors of transformed counts, with others of their language and source, by minimum-covariance-determinant
+estimates: from three starts (medians and quartiles, the moments of clipped vectors, and those of their
+directions) concentration steps go to the nearest three quarters again and again; the start with the least determinant
+is followed until that falls no more. Documents beyond a Mahalanobis distance are rejected.
+
+There are estimates of every language and source, every language, and all documents. Each is mixed with the
+one above it, which counts as much as ``PRIOR_ROWS`` documents, so small groups have estimates too and no size
+turns the method on or off; that of all documents is mixed with a fixed wide one.
+
+Quantiles are those of fixed bins' counts, so they do not depend on the order in which parts are merged, and
+estimates are rounded, so that the order of sums does not show either. All sums are pre-aggregated in the tasks, so a
+source with a third of all rows is summed where its rows are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import SPACE, documents, lookup_join, saved, with_row_id
@@ -20,9 +27,12 @@ LEAST_WORDS, REPEAT_PERCENT = 10, 20
 #: Part of a group that an estimate rests on, and what its covariance is multiplied by for that (fixed
 #: value: 0.75 / P(chi-square with 7 degrees < 0.75 quantile of that with 5)).
 CORE, CONSISTENCY = 0.75, 1.41
-STEPS = 2
-#: A group with fewer documents has no estimate of its own.
-LEAST_GROUP = 200
+#: Steps from each start before the best one is chosen, and by how much the determinant's logarithm has to fall for another.
+STEPS, LEAST_FALL = 2, 1e-3
+#: Documents that the estimate above a group's counts as.
+PRIOR_ROWS = 50.0
+#: Bins a unit of a vector's component, and bins for each doubling of a distance.
+VALUE_BINS, DISTANCE_BINS = 1024, 32
 #: Squared Mahalanobis distance beyond which a document is rejected: the 1 - 1e-4 quantile of chi-square with 5 degrees.
 CUTOFF = 26.0
 #: Added to the size of a text before a share of it is taken, so that short texts' shares, where a
@@ -33,6 +43,11 @@ PRIOR = {"n_symbols": 25.0, "n_dup_lines": 25.0, "n_repeat_words": 250.0}
 #: n + 25 by at most 1 / (2 * 5), whatever the text's length; repeats count by tens.
 FLOORS = (0.3, 0.5, 0.1, 0.1, 0.1)
 DIMENSIONS = len(FLOORS)
+#: Spreads of the fixed estimate that the one of all documents is mixed with.
+WIDE = (2.0, 1.5, 0.5, 0.5, 0.5)
+KEYS = ["level", "lang", "source"]
+#: The places of a lower triangle, row by row.
+TRIANGLE = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 
 
 def let(value: Column, body) -> Column:
@@ -96,65 +111,116 @@ def _distance(x: Column, centre: Column, whiten: Column) -> Column:
     return total
 
 
-def _whitened(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, centre and whiten, of rows of keys and the moments s0, s_i and s_ij; one step at a time."""
-    for i in range(DIMENSIONS):
-        rows = rows.withColumn(f"m{i}", F.col(f"s{i}") / F.col("s"))
-    covariances = {}
-    for i in range(DIMENSIONS):
-        for j in range(i + 1):
-            spread = F.greatest(F.col(f"s{j}_{i}") / F.col("s") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) if i == j else F.col(f"s{j}_{i}") / F.col("s") - F.col(f"m{i}") * F.col(f"m{j}")
-            covariances[f"c{i}_{j}"] = CONSISTENCY * spread + (FLOORS[i] ** 2 if i == j else 0.0)
-    rows = rows.withColumns(covariances)
-    for i in range(DIMENSIONS):  # Cholesky: c = l * l'
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            rows = rows.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i in range(DIMENSIONS):  # w = l inverted
-        for j in range(i + 1):
-            if i == j:
-                value = 1.0 / F.col(f"l{i}_{i}")
-            else:
-                value = F.lit(0.0)
-                for k in range(j, i):
-                    value = value - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
-                value = value / F.col(f"l{i}_{i}")
-            rows = rows.withColumn(f"w{i}_{j}", value)
-    return rows.select(
-        *keys, "n",
-        F.array(*(F.col(f"m{i}") for i in range(DIMENSIONS))).alias("centre"),
-        F.array(*(F.col(f"w{i}_{j}") for i in range(DIMENSIONS) for j in range(i + 1))).alias("whiten"),
-    )
-
-
-def robust_estimates(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, centre and whiten for each group of `points` (keys and x, an array) with `LEAST_GROUP` rows."""
-    at = lambda i: F.get("x", F.lit(i))
-    quartiles = points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(at(i), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMENSIONS)))
-    quartiles = quartiles.where(F.col("n") >= LEAST_GROUP)
-    diagonal = [
-        (1.0 / F.sqrt(F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) + FLOORS[i] ** 2)) if i == j else F.lit(0.0)
-        for i in range(DIMENSIONS) for j in range(i + 1)
-    ]
-    estimates = saved(quartiles.select(*keys, "n", F.array(*(F.get(f"q{i}", F.lit(1)) for i in range(DIMENSIONS))).alias("centre"), F.array(*diagonal).alias("whiten")), "estimates")
+def with_whitening(rows: DataFrame) -> DataFrame:
+    """Adds whiten, the inverse Cholesky factor of cov, and logdet, both of lower triangles; one step at a time."""
+    names = rows.columns
+    for n, (i, j) in enumerate(TRIANGLE):  # cov = l * l'
+        rest = F.get("cov", F.lit(n))
+        for k in range(j):
+            rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+        rows = rows.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}_{j}"))
+    for i, j in TRIANGLE:  # w = l inverted
+        value = F.lit(1.0) if i == j else F.lit(0.0)
+        for k in range(j, i):
+            value = value - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
+        rows = rows.withColumn(f"w{i}_{j}", value / F.col(f"l{i}_{i}"))
+    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(1, DIMENSIONS)), 2 * F.log("l0_0"))
+    return rows.select(*names, F.array(*(F.round(f"w{i}_{j}", 9) for i, j in TRIANGLE)).alias("whiten"), F.round(logdet, 9).alias("logdet"))
+
+
+def _estimates(rows: DataFrame, keys: list[str], vector: Column) -> DataFrame:
+    """keys, centre, cov, whiten and logdet of the vectors of each group."""
+    at = lambda i: F.get("_v", F.lit(i))
+    sums = rows.withColumn("_v", vector).groupBy(*keys).agg(
+        F.count("*").alias("s"), *(F.sum(at(i)).alias(f"s{i}") for i in range(DIMENSIONS)), *(F.sum(at(i) * at(j)).alias(f"s{i}_{j}") for i, j in TRIANGLE)
+    )
+    mean = lambda i: F.col(f"s{i}") / F.col("s")
+    spread = lambda i, j: F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j)
+    cov = [CONSISTENCY * F.greatest(spread(i, j), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else CONSISTENCY * spread(i, j) for i, j in TRIANGLE]
+    made = sums.select(*keys, F.array(*(F.round(mean(i), 9) for i in range(DIMENSIONS))).alias("centre"), F.array(*(F.round(c, 9) for c in cov)).alias("cov"))
+    return with_whitening(made)
+
+
+def quantiles(binned: DataFrame, keys: list[str], parts: list[float]) -> DataFrame:
+    """keys, total and p0, p1, ...: the least bin with each part of the group's n in it or below, of rows of keys, bin and n."""
+    cells = Window.partitionBy(*keys)
+    upto = binned.withColumns({"upto": F.sum("n").over(cells.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(cells)})
+    return upto.groupBy(*keys).agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin"))).alias(f"p{i}") for i, p in enumerate(parts)))
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """Three starts of each group, by medians and quartiles, by the moments of clipped vectors and by those of directions."""
+    bins = F.transform("x", lambda v: F.greatest(F.least(F.floor(v * VALUE_BINS), F.lit(1 << 24)), F.lit(-(1 << 24))))
+    cells = points.select(*KEYS, F.posexplode(bins).alias("i", "bin")).groupBy(*KEYS, "i", "bin").agg(F.count("*").alias("n"))
+    by_place = quantiles(saved(cells, "value-bins"), [*KEYS, "i"], [0.25, 0.5, 0.75])
+    middle = lambda c: (F.col(c) + 0.5) / VALUE_BINS
+    floors = F.array(*map(F.lit, FLOORS))
+    scale = F.sqrt(F.pow((F.col("p2") - F.col("p0")) / (1.349 * VALUE_BINS), 2) + F.pow(F.get(floors, F.col("i")), 2))
+    own = lambda c, i: F.max(F.when(F.col("i") == i, c))
+    middles = by_place.withColumn("scale", scale).groupBy(*KEYS).agg(
+        F.max("total").alias("n"), F.array(*(own(middle("p1"), i) for i in range(DIMENSIONS))).alias("centre"), F.array(*(own(F.col("scale"), i) for i in range(DIMENSIONS))).alias("scale")
+    )
+    middles = saved(middles, "middles")
+    first = middles.select(*KEYS, F.lit(0).alias("start"), "centre", F.array(*(F.pow(F.get("scale", F.lit(i)), 2) if i == j else F.lit(0.0) for i, j in TRIANGLE)).alias("cov"))
+    z = F.transform("x", lambda v, i: (v - F.get("centre", i)) / F.get("scale", i))
+    size = F.sqrt(F.aggregate("z", F.lit(1e-12), lambda a, v: a + v * v))
+    drawn = lambda how: F.transform("z", lambda v, i: F.get("centre", i) + F.get("scale", i) * how(v))
+    clipped, direction = drawn(lambda v: F.greatest(F.least(v, F.lit(1.5)), F.lit(-1.5))), drawn(lambda v: v / size)
+    both = lookup_join(points, middles.drop("n"), KEYS, "inner").withColumn("z", z)
+    both = both.select(*KEYS, F.posexplode(F.array(clipped, direction)).alias("start", "y")).withColumn("start", F.col("start") + 1)
+    found = with_whitening(first).unionByName(_estimates(both, [*KEYS, "start"], F.col("y")))
+    return saved(found.join(middles.select(*KEYS, "n"), KEYS), "starts")
+
+
+def _concentrated(points: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimates of the nearest CORE of each group's vectors, by each of its present estimates."""
+    keys = [*KEYS, "start"]
+    distance = F.floor(DISTANCE_BINS * F.log2(_distance(F.col("x"), F.col("centre"), F.col("whiten")) + 1e-6))
+    near = lambda e: lookup_join(points, e, KEYS, "inner").withColumn("bin", distance)
+    cells = near(estimates.select(*keys, "centre", "whiten")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    most = quantiles(saved(cells, "distance-bins"), keys, [CORE]).select(*keys, F.col("p0").alias("most"))
+    present = saved(estimates.join(most, keys).select(*keys, "n", "centre", "whiten", "most"), "core")
+    found = _estimates(near(present.drop("n")).where("bin <= most").select(*keys, "x"), keys, F.col("x"))
+    return saved(found.join(present.select(*keys, "n"), keys), "estimates")
+
+
+def robust_estimates(points: DataFrame) -> DataFrame:
+    """KEYS, n, centre, cov, whiten and logdet of each group of `points` (KEYS and x, an array)."""
+    found = _starts(points)
     for _ in range(STEPS):
-        near = lookup_join(points, estimates, keys, "inner").select(*keys, "x", _distance(F.col("x"), F.col("centre"), F.col("whiten")).alias("d"))
-        core = saved(near.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("d", CORE, 1000).alias("most")), "core")
-        inside = lookup_join(near, core, keys, "inner").where("d <= most")
-        moments = [F.sum(at(i)).alias(f"s{i}") for i in range(DIMENSIONS)] + [F.sum(at(i) * at(j)).alias(f"s{i}_{j}") for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-        sums = saved(inside.groupBy(*keys).agg(F.max("n").alias("n"), F.count("*").alias("s"), *moments), "moments")
-        estimates = saved(_whitened(sums, keys), "estimates")
-    return estimates
+        found = _concentrated(points, found)
+    best = Window.partitionBy(*KEYS).orderBy("logdet", "start")
+    found = found.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+    found = saved(found.withColumn("open", F.lit(True)), "best")
+    names = ["centre", "cov", "whiten", "logdet"]
+    while not (still := found.where("open")).isEmpty():  # each round lowers determinants, which the floors bound
+        then = _concentrated(points, still).select(*KEYS, *(F.col(c).alias(f"new_{c}") for c in names))
+        joined = found.join(then, KEYS, "left").withColumn("falls", F.coalesce(F.col("new_logdet") < F.col("logdet") - LEAST_FALL, F.lit(False)))
+        found = saved(joined.select(*KEYS, "start", "n", *(F.when(F.col("falls"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in names), F.col("falls").alias("open")), "best")
+    return found.drop("open", "start")
+
+
+def mixed_estimates(found: DataFrame) -> DataFrame:
+    """lang, source, centre and whiten: each group's estimate mixed with that of its language, which is with that of all."""
+    wide = F.array(*(F.lit(WIDE[i] ** 2 if i == j else 0.0) for i, j in TRIANGLE))
+    at = lambda c, i: F.get(c, F.lit(i))
+    above = found.where("level = 0").select(F.lit("").alias("lang"), F.lit("").alias("source"), F.col("centre").alias("up_centre"), wide.alias("up_cov"))
+    for level, keys in enumerate((["lang", "source"], ["source"], ["lang"])):  # source is empty above the last level, and lang above them all
+        own = found.where(F.col("level") == level).join(above if level == 0 else above.select(*keys, "up_centre", "up_cov"), keys)
+        own = own.withColumn("w", F.col("n") / (F.col("n") + PRIOR_ROWS))
+        gap = lambda i: at("centre", i) - at("up_centre", i)
+        centre = F.array(*(F.col("w") * at("centre", i) + (1 - F.col("w")) * at("up_centre", i) for i in range(DIMENSIONS)))
+        cov = F.array(*(F.col("w") * at("cov", n) + (1 - F.col("w")) * at("up_cov", n) + F.col("w") * (1 - F.col("w")) * gap(i) * gap(j) for n, (i, j) in enumerate(TRIANGLE)))
+        made = saved(own.select("lang", "source", centre.alias("centre"), cov.alias("cov")), "mixed")
+        above = made.select("lang", "source", F.col("centre").alias("up_centre"), F.col("cov").alias("up_cov"))
+    return with_whitening(made).select("lang", "source", "centre", "whiten")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept, and `row`, for every row of `docs`.
 
     A null or empty text has no words and fails the base rules. Null languages and sources count as
-    empty ones. Where neither a document's group nor its language has an estimate, distance is null and
-    the base rules decide. Repeated rows are judged each for itself, an empty table gives no
+    empty ones. Every document that passes the base rules has a distance. Repeated rows are judged each for itself, an empty table gives no
     rows. Only doc_id, text, lang and source are read. `row` numbers the rows as with_row_id() does.
     """
     keyed = with_row_id(docs, "row", ["doc_id", "text", "lang", "source"]).select("row", "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), base_counts(F.col("text")).alias("c"))
@@ -162,11 +228,12 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         "row", "doc_id", "lang", "source", "c.n_words", "c.word_chars", "c.n_symbols", "c.of_lines.n_lines", "c.of_lines.n_dup_lines", "c.n_repeat_words"
     )
     counted = counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).withColumn("x", F.array(*vector()))
-    points = counted.where(~F.col("base_failed")).select("lang", "source", "x")
-    own, language = robust_estimates(points, ["lang", "source"]), robust_estimates(points, ["lang"])
-    names = lambda e, p: e.drop("n").withColumnsRenamed({"centre": f"{p}_centre", "whiten": f"{p}_whiten"})
-    judged = lookup_join(lookup_join(counted, names(own, "own"), ["lang", "source"]), names(language, "any"), ["lang"])
-    judged = judged.withColumn("distance", _distance(F.col("x"), F.coalesce("own_centre", "any_centre"), F.coalesce("own_whiten", "any_whiten")))
+    group = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    groups = F.array(group(0, F.lit(""), F.lit("")), group(1, F.col("lang"), F.lit("")), group(2, F.col("lang"), F.col("source")))
+    points = saved(counted.where(~F.col("base_failed")).select(F.explode(groups).alias("g"), "x").select("g.*", "x"), "points")
+    estimates = saved(mixed_estimates(robust_estimates(points)), "estimates")
+    judged = lookup_join(counted, estimates, ["lang", "source"])
+    judged = judged.withColumn("distance", _distance(F.col("x"), F.col("centre"), F.col("whiten")))
     return judged.select(
         "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
