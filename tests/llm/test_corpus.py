@@ -165,11 +165,56 @@ def test_components_against_union_by_hand(spark):
     assert not near_dup.components(spark.createDataFrame([], "row long, hub long")).collect()
 
 
-def test_large_families_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 200)
-    texts = [" ".join([*(f"t{i}" for i in range(40)), f"end{k}"]) for k in range(30)]
-    docs = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "family")
-    assert {r.component_id for r in near_dup.near_duplicates(docs, size=3, percent=85).collect()} == {0}
+def brute_links(sets, percent):
+    return {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+
+
+def test_links_of_blocks_against_all_pairs():
+    draw = random.Random(12)
+    for _ in range(60):
+        base = [[draw.randint(0, 60) for _ in range(25)] for _ in range(2)]
+        sets = [set(x if draw.random() > draw.choice([0.02, 0.1]) else draw.randint(100, 200) for x in draw.choice(base)) for _ in range(30)]
+        first, percent = draw.randint(1, 29), draw.choice([50, 80, 85, 100])
+        parts = [draw.randint(0, 40) for _ in sets]
+        found = near_dup.link([i * 7 for i in range(30)], [np.asarray(sorted(s), dtype=np.uint64) for s in sets], parts, first, percent)
+        links = brute_links(sets, percent)
+        assert all((u // 7, v // 7) in links and v // 7 < first <= u // 7 for u, v in found)
+
+        def joined(pairs):
+            root = {p: p for p in parts}
+            for _ in parts:
+                for a, b in pairs:
+                    root[parts[a]] = root[parts[b]] = min(root[parts[a]], root[parts[b]])
+            return [root[p] for p in parts]
+
+        assert joined([(u // 7, v // 7) for u, v in found] * 3) == joined([(u, v) for u, v in links if v < first <= u] * 3)
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_layout_misses_few(percent):
+    groups, rows = near_dup.layout(percent)
+    assert 1 - (1 - (1 - (percent / 100) ** rows) ** groups) ** 2 <= 3.1e-4
+
+
+@pytest.mark.parametrize("block", [200, 400_000])
+def test_families_that_hubs_do_not_link(spark, monkeypatch, block):
+    """A chain of copies, each like the next only, and boilerplate that is alike but not enough."""
+    for name, value in (("BLOCK_SHINGLES", block), ("BLOCK_DOCUMENTS", max(3, block // 40)), ("TIES", 4), ("AT_ONCE", 5)):
+        monkeypatch.setattr(near_dup, name, value)
+    words = [f"c{i}" for i in range(130)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in range(20)]
+    texts += [" ".join([*(f"b{i}" for i in range(40)), *(f"own{k // 2}x{i}" for i in range(15)), f"end{k}"]) for k in range(30)]
+    texts += [" ".join([*(f"t{i}" for i in range(40)), f"end{k}"]) for k in range(30)]
+    order = list(range(len(texts)))
+    random.Random(2).shuffle(order)
+    docs = saved(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string"), "family")
+    sets = [set(zip(*(texts[k].split()[j:] for j in range(3)), strict=False)) for k in order]
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, j in brute_links(sets, 85):
+            root[i] = root[j] = min(root[i], root[j])
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, size=3, percent=85).collect()}
+    assert [found[i] for i in range(len(texts))] == root
 
 
 def test_packing():
