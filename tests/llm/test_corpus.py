@@ -124,6 +124,25 @@ def test_line_runs_against_brute_force(spark):
         assert r.n_removed_lines == len(gone[r.doc_id]) and r.text == (left if not gone[r.doc_id] or WORD.search(left) else "")
 
 
+def test_maximal_runs(spark):
+    line = lambda k: " ".join([f"line{k}"] * 10)
+    lines = lambda *ks: "\n".join(map(line, ks))
+    texts = [lines(*range(12)), lines(90, *range(3, 11), 91), lines(92, *range(6), 93, *range(6, 12)), "\n\n" + lines(*range(12)).replace("\n", "\n\n")]
+    docs = saved(with_row_id(saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "texts"), "row"), "numbered")
+    place = {r.row: r.doc_id for r in docs.collect()}
+    found = sorted((place[r.row], r["first"], r["last"], r.n_words) for r in line_dedup.maximal_runs(docs, words=50).collect())
+    assert found == [(1, 1, 8, 80), (2, 1, 6, 60), (2, 8, 13, 60), (3, 2, 24, 120)]
+
+
+def test_time_grows_with_lines(spark):
+    """Two equal texts of many different lines, one of many equal ones; a square of their number would not end in time."""
+    text = "\n".join(f"line {i} of a long text" for i in range(100_000))
+    docs = saved(spark.createDataFrame([(1, text), (2, text), (3, "the same line again\n" * 30_000)], "doc_id long, text string"), "long")
+    found = {r.doc_id: (r.n_lines, r.n_removed_lines) for r in line_dedup.dedup_lines(docs).collect()}
+    # copies may overlap, so only the first of the equal lines stays
+    assert found == {1: (100_000, 0), 2: (100_000, 100_000), 3: (30_000, 29_999)}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     draw = random.Random(4)
     base = [[f"v{draw.randint(0, 500)}" for _ in range(80)] for _ in range(6)]
