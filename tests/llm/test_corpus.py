@@ -522,3 +522,43 @@ def test_lookups_above_the_limit(spark):
     for how in ("left", "inner"):
         few, many = (sorted(map(tuple, lookup_join(big, small, ["k"], how, limit).select("id", "v").collect()), key=str) for limit in (10, 2))
         assert few == many and len(few) == (3000 if how == "left" else big.where("k < 5").count())
+
+
+def test_licences_of_no_listed_family_are_unknown(spark):
+    texts = [
+        "Intro text.\n\nThis program and the accompanying materials are made available under the terms of\nthe Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n\nThe end.",
+        "Released under the Open Gaming License.", "Licensed under the Sleepycat License, version 2.", "He lost his license at the station.", "Mit der Zeit kam er mit dem Zug.",
+        "Released under the Eclipse License.\nReleased under the MIT License.", "word " * 5000 + "\nmore of it\nReleased under the MIT License.\n" + "word " * 5000,
+    ]
+    docs = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "unlisted")
+    found = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [found[i].family for i in range(len(texts))] == ["unknown", "unknown", "unknown", "none", "none", "mit", "mit"]
+    assert [(found[i].n_paragraphs, found[i].n_unknown) for i in (0, 3, 5, 6)] == [(0, 1), (0, 0), (1, 1), (1, 0)] and found[6].line == 2
+
+
+def test_paragraphs_are_scored_as_in_python(spark):
+    model = license_scan.default_model()
+    wordings = [t for ts in license_scan.TEMPLATES.values() for t in ts] + license_scan.UNLISTED + license_scan.OTHER
+    docs = saved(with_row_id(saved(spark.createDataFrame(list(enumerate(wordings)), "doc_id long, text string"), "w"), "row"), "wordings")
+    number = {r.row: r.doc_id for r in docs.collect()}
+    found = {number[r.row]: r for r in license_scan.scan(docs, model).collect()}
+    weight = defaultdict(dict)
+    for word, t, family, share, _ in model.template_words:
+        weight[t, family][word] = share
+    for i, text in enumerate(wordings):
+        words = license_scan.words_of(text)
+        p = model.probabilities([words])[0]
+        licence = 1 - p[-1] if model.anchors & set(words) else 0.0
+        assert (i in found) == (licence >= model.least_licence)
+        if i in found:
+            named = model.kinds[int(p[:-2].argmax())]
+            alike = max(sum(w for word, w in own.items() if word in words) for (_, f), own in weight.items() if f == named)
+            confirmed = p[:-2].max() >= model.least_named * licence and alike >= license_scan.CONFIRM
+            assert found[i].similarity == pytest.approx(alike, abs=1e-6) and found[i].confirmed == confirmed and found[i].family == (named if confirmed else "unknown")
+            assert found[i].probability == pytest.approx(p[:-2].max() if confirmed else licence, abs=1e-6)
+
+
+def test_no_template_is_a_training_text():
+    templates = {tuple(license_scan.words_of(t)) for ts in license_scan.TEMPLATES.values() for t in ts}
+    notices = {tuple(license_scan.words_of(t)) for ts in license_scan.NOTICES.values() for t in ts} | {tuple(license_scan.words_of(t)) for t in license_scan.UNLISTED}
+    assert not templates & notices
