@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,13 +166,14 @@ def _sums(of):
             if batch.num_rows:
                 part = of(batch)
                 total = part if total is None else total + part
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([] if total is None else [np.asarray(total, dtype="<f8").tobytes()], pa.binary())})
+        made = [] if total is None else [np.asarray(total, dtype="<f8").tobytes()]
+        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()] * len(made), pa.int32()), "sums": pa.array(made, pa.binary())})
 
     return run
 
 
 def tree_sum(df: DataFrame, of, size: int, width: int = 32) -> np.ndarray:
-    """The sum over all rows, added up by tasks, then by `width` tasks, and last on the driver."""
+    """The sum over all rows, added up by tasks, then by `width` tasks, and last on the driver, each in the order of tasks."""
     again = _sums(lambda batch: sum(np.frombuffer(x, dtype="<f8") for x in batch.column("sums").to_pylist()))
-    parts = df.mapInArrow(_sums(of), "sums binary").repartition(width).mapInArrow(again, "sums binary")
-    return sum((np.frombuffer(r.sums, dtype="<f8") for r in parts.collect()), np.zeros(size))
+    parts = df.mapInArrow(_sums(of), "task int, sums binary").repartition(width, F.col("task") % width).sortWithinPartitions("task").mapInArrow(again, "task int, sums binary")
+    return sum((np.frombuffer(r.sums, dtype="<f8") for r in sorted(parts.collect(), key=lambda r: r.task)), np.zeros(size))

@@ -16,6 +16,16 @@ _LATIN = re.compile(
 _ANY = regex.compile(PATTERN)
 
 
+#: A space between two characters that are no white space in any engine's tables (fixed values: those of Unicode, and the characters
+#: that some versions of it class so). Every match of PATTERN that reaches it begins there, whatever classes the others have.
+_BORDER = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff])(?= [^\s\x1c-\x1f\x85\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff])")
+
+
+def chunks(text: str) -> list[str]:
+    """Parts of any text that are encoded apart in every engine: words with the space before them, and what surrounds other white space."""
+    return _BORDER.split(text)
+
+
 def is_latin(text: str) -> bool:
     """Whether every character is below U+0100, where all engines' Unicode tables agree."""
     try:

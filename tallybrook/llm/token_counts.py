@@ -36,12 +36,18 @@ def shrink(counts: Counter, size: int) -> Counter:
     return Counter({k: n - floor for k, n in ordered[:-1] if n > floor})
 
 
+def pieces_of(text: str) -> list[str]:
+    """What is looked up: pre-tokens, or in texts with characters from U+0100 on, where the engines' tables
+    of letters may differ, the chunks that are apart in all of them."""
+    return pretokens.latin_split(text) if pretokens.is_latin(text) else pretokens.chunks(text)
+
+
 def _summaries(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch):
-                counts.update(pretokens.split(text))
+                counts.update(pieces_of(text))
                 if len(counts) > 16 * size:
                     counts = shrink(counts, size)
         short = Counter({k: n for k, n in shrink(counts, size).items() if n > 1 and len(k) <= MAX_PIECE})
@@ -90,7 +96,9 @@ class TokenLengths(dict):
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.model.tokenize(pretokens.as_letters(piece)))
+        # a pre-token needs the vocabulary's model alone; what a chunk is made of the library decides
+        single = pretokens.is_latin(piece) and len(pretokens.latin_split(piece)) == 1
+        n = len(self.model.tokenize(pretokens.as_letters(piece))) if single else self._length(piece)
         if len(piece) <= 4 * MAX_PIECE:
             if len(self) >= len(self.first) + self.cache_size:
                 self.clear()
@@ -99,11 +107,10 @@ class TokenLengths(dict):
         return n
 
     def count(self, text: str) -> int:
-        """Texts with special strings, or with characters whose class the engines' tables may
-        not agree on, go to the library as a whole."""
-        if not pretokens.is_latin(text) or any(s in text for s in self.special):
+        """Texts with special strings go to the library as a whole; all others through both tiers."""
+        if any(s in text for s in self.special):
             return self._length(text)
-        return sum(map(self.__getitem__, pretokens.latin_split(text)))
+        return sum(map(self.__getitem__, pieces_of(text)))
 
 
 _loaded: dict = {}

@@ -2,7 +2,8 @@
 
 Candidate vectors are packed into blocks and dealt to shards of bounded size; blocks of queries go to
 every shard. A task holds one shard, multiplies a block of queries by a tile of candidates at a
-time and keeps the best k of each tile; tiles are merged within the shard, and shards in groups of
+time and keeps the best k of each tile; vectors are sent in the smallest kind of
+number that holds them; tiles are merged within the shard, and shards in groups of
 ``FAN_IN``, so what is merged at once stays bounded.
 """
 
@@ -17,12 +18,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 65_536
+#: Rows of a shard at most, and bytes of its vectors as they are sent; each query block goes to every shard.
+SHARD_ROWS, SHARD_BYTES = 262_144, 1 << 26
 BLOCK_ROWS = 4_096
-QUERY_ROWS = 256
+QUERY_ROWS = 512
 TILE = 8_192
 FAN_IN = 16
-EXACT = float(1 << 53)
+EXACT, EXACT_SINGLE = float(1 << 53), float(1 << 24)
+
+
+#: Kinds of numbers that blocks are sent in, and the largest that each holds.
+KINDS = (("<i1", 127.0), ("<i2", 32_767.0), ("<f8", np.inf))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in the smallest kind that holds them, with its place in KINDS first."""
+    largest = np.abs(values).max(initial=0)
+    at = next(i for i, (_, most) in enumerate(KINDS) if largest <= most)
+    return bytes([at]) + values.astype(KINDS[at][0]).tobytes()
+
+
+def _unpacked(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=KINDS[data[0]][0], offset=1).reshape(rows, dim)
 
 
 def _blocks(rows_a_block: int):
@@ -37,7 +54,7 @@ def _blocks(rows_a_block: int):
             rows = held.pop(dim)
             made += 1
             ids = np.asarray([r[0] for r in rows], dtype="<i8").tobytes()
-            values = np.floor(64.0 * np.asarray([r[1] for r in rows], dtype="<f8").reshape(len(rows), dim)).tobytes()
+            values = _packed(np.floor(64.0 * np.asarray([r[1] for r in rows], dtype="<f8").reshape(len(rows), dim)))
             return pa.RecordBatch.from_pydict(
                 {"task": pa.array([task], pa.int64()), "block": pa.array([made], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids], pa.binary()), "vectors": pa.array([values], pa.binary())}
             )
@@ -67,11 +84,12 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers held as doubles; beyond 53 bits with Python's integers,
-    where a score beyond 64 bits becomes the nearest 64-bit one."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    """Exact inner products of whole numbers: in single or double precision where all sums are exact in it, beyond
+    with Python's integers, where a score beyond 64 bits becomes the nearest 64-bit one."""
+    bound = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
     if bound < EXACT:
-        return (a @ b.T).astype(np.int64)
+        kind = np.float32 if bound < EXACT_SINGLE else np.float64
+        return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
     whole = lambda x: np.asarray([[int(v) for v in r] for r in x], dtype=object).reshape(x.shape)
     return np.clip(whole(a) @ whole(b).T, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
 
@@ -103,7 +121,7 @@ def _search(k: int):
                 if shard != current:
                     current, held, ready = shard, defaultdict(list), {}
                 own = np.frombuffer(ids, dtype="<i8")
-                own = own, np.frombuffer(vectors, dtype="<f8").reshape(len(own), dim)
+                own = own, _unpacked(vectors, len(own), dim)
                 if not is_query:
                     held[dim].append(own)
                     continue
@@ -134,7 +152,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SH
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
-    n = usable.count()
+    n, dim = usable.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (2 * max(1, dim))))
     parallel = vectors.sparkSession.sparkContext.defaultParallelism
     shards = max(1, -(-n // shard_rows), min(2 * parallel, -(-n // BLOCK_ROWS)))
     rows_a_block = max(1, min(BLOCK_ROWS, -(-n // (4 * shards))))

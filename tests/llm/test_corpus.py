@@ -562,3 +562,69 @@ def test_no_template_is_a_training_text():
     templates = {tuple(license_scan.words_of(t)) for ts in license_scan.TEMPLATES.values() for t in ts}
     notices = {tuple(license_scan.words_of(t)) for ts in license_scan.NOTICES.values() for t in ts} | {tuple(license_scan.words_of(t)) for t in license_scan.UNLISTED}
     assert not templates & notices
+
+
+def test_both_tiers_count_texts_of_any_script(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, draw = Tokenizer.from_file(path), random.Random(13)
+    parts = ["—", "“quoted”", "日本語", "слово", "it's", " ", "  ", "\n", "\t", "\u3000", "\u200b", "\xa0", "\x85", "\x1c", "é", "🙂", "123", "٣٤", "!?", "a", "\u180e", "\ufeff", "don't"]
+    lengths = token_counts.TokenLengths(path, ["the", " it"])
+    for _ in range(3000):
+        text = "".join(draw.choice([*parts, " ", " "]) for _ in range(draw.randint(1, 14)))
+        assert lengths.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    kept = len(lengths)
+    assert lengths.count("слово — “quoted” слово") and len(lengths) >= kept  # chunks are kept, not whole texts
+    assert "слово — “quoted” слово" not in lengths
+    docs = spark.createDataFrame([(1, "слово слово — слово"), (2, "слово “quoted”")], "doc_id long, text string").coalesce(1)
+    assert " слово" in token_counts.frequent_pretokens(docs)
+
+
+def test_isotonic_against_its_formula():
+    draw = np.random.default_rng(4)
+    for _ in range(50):
+        means, weights = draw.random(12), draw.integers(1, 5, 12).astype(float)
+        average = lambda i, j: np.average(means[i : j + 1], weights=weights[i : j + 1])  # noqa: E731, B023
+        direct = [max(min(average(i, j) for j in range(k, 12)) for i in range(k + 1)) for k in range(12)]
+        assert np.allclose(quality_classifier.isotonic(means, weights), direct)
+
+
+def test_classifier_against_a_direct_fit(spark):
+    """Features, ridge weights and calibration from all rows at once, by numpy."""
+    draw, n = np.random.default_rng(7), 400
+    stats = np.hstack([draw.normal(size=(n, quality_classifier.STATISTICS - 1)), np.ones((n, 1))])
+    quality = (stats[:, 0] + stats[:, 1] ** 2 + 0.3 * draw.normal(size=n) > 0.7).astype(int)
+    rows = [([float(v) for v in s], int(q)) for s, q in zip(stats, quality, strict=True)]
+    train = saved(spark.createDataFrame(rows, "stats array<double>, quality int").repartition(5), "train")
+    scorer = quality_classifier.fit(train, features=40)
+    scale = stats.std(axis=0)
+    kernel = quality_classifier.KernelMap(stats.mean(axis=0), np.where(scale > 1e-9, scale, 1.0), 40)
+    x = kernel(stats)
+    penalty = np.diag([*np.full(40, quality_classifier.RIDGE * n), 1e-9])
+    weights = np.linalg.solve(x.T @ x + penalty, x.T @ quality)
+    assert np.allclose(scorer.weights, weights, atol=1e-6)
+    raw = x @ weights
+    at = np.floor((raw + 0.5) / 2 * quality_classifier.BINS)
+    bins = [np.flatnonzero(at == b) for b in np.unique(at)]
+    values = quality_classifier.isotonic(np.asarray([quality[b].mean() for b in bins]), np.asarray([float(len(b)) for b in bins]))
+    assert np.allclose(scorer.knots, [raw[b].mean() for b in bins]) and np.allclose(scorer.values, values)
+    # the kernel's features approximate a Gaussian kernel
+    many = quality_classifier.KernelMap(np.zeros(3), np.ones(3), 20_000, width=1.5)
+    a = draw.normal(size=(6, 3))
+    near = (many(a) @ many(a).T) - 1
+    assert np.allclose(near, np.exp(-((a[:, None] - a[None]) ** 2).sum(axis=2) / (2 * 1.5**2)), atol=0.05)
+
+
+def test_top_k_of_large_values_repeated_rows_and_clashing_columns(spark):
+    draw = np.random.default_rng(3)
+    for size in (1, 300, 5_000, 3e6):
+        vectors = [(i % 90, [float(x) for x in np.round(draw.normal(size=5) * size, 3)]) for i in range(100)]
+        table = spark.createDataFrame([(i, v, 7, "x") for i, v in vectors], "vec_id long, embedding array<double>, task int, shard string")
+        found = topk_search.top_k(table, k=5, shard_rows=30).collect()
+        got = Counter((r.query_id, r["rank"], r.score) for r in found)
+        whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors]
+        expected = Counter()
+        for q, v in whole:
+            if q % 20 == 0:
+                best = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), -i) for i, w in whole if i != q), reverse=True)[:5]
+                expected.update((q, k, s) for k, (s, _) in enumerate(best, 1))
+        assert got == expected
