@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +13,23 @@ def _labelled(label: str) -> Column:
     return F.coalesce(F.col("injected_label") == label, F.lit(False))
 
 
-def quality(df: DataFrame, flag: Column, truth: Column) -> DataFrame:
-    sums = df.agg(F.count_if(flag & truth).alias("tp"), F.count_if(flag & ~truth).alias("fp"), F.count_if(~flag & truth).alias("fn"))
+def _confusion(flag: Column, truth: Column) -> list[Column]:
+    return [F.count_if(flag & truth).alias("tp"), F.count_if(flag & ~truth).alias("fp"), F.count_if(~flag & truth).alias("fn")]
+
+
+def _rates(sums: DataFrame) -> DataFrame:
     part = lambda other: F.round(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col(other)).cast("double")), 4)
     return sums.withColumns({"precision": part("fp"), "recall": part("fn")})
 
 
+def quality(df: DataFrame, flag: Column, truth: Column) -> DataFrame:
+    return _rates(df.agg(*_confusion(flag, truth)))
+
+
 def by_rule(df: DataFrame) -> DataFrame:
-    parts = [quality(df, F.col(f"flag_{r}"), _labelled(label)).withColumn("rule", F.lit(r)) for r, label in LABEL_OF_RULE.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """All rules' counts in one pass, a row for each rule."""
+    each = [F.struct(*_confusion(F.col(f"flag_{r}"), _labelled(label)), F.lit(r).alias("rule")).alias(r) for r, label in LABEL_OF_RULE.items()]
+    return _rates(df.agg(*each).select(F.inline(F.array(*LABEL_OF_RULE)))).select("tp", "fp", "fn", "precision", "recall", "rule")
 
 
 def overall(df: DataFrame) -> DataFrame:

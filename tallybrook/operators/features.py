@@ -1,6 +1,7 @@
 """Event-time features of each account's history, each computed before the event itself counts.
 
-All share one partitioning by account, so the data is shuffled for them once.
+All share one partitioning by account, so events are read once and shuffled once. One account's events are
+sorted in one task, as each depends on those before it; no account's history is held as a whole.
 """
 
 from __future__ import annotations
@@ -41,33 +42,32 @@ def with_sliding_count(df: DataFrame) -> DataFrame:
     return df.withColumn("velocity_count", (F.col("rn") - F.min("rn").over(recent) + 1).cast("int"))
 
 
-def window_heads(df: DataFrame) -> DataFrame:
-    """account_id and ms of the events that open a window: the first, and each that is five minutes or more after the
-    one that opened the last. A pause of five minutes always opens one, so stretches between such pauses are
-    folded apart, however long an account's history is."""
-    start = F.when(F.col("ms") - F.coalesce(F.lag("ms").over(_ordered()), F.col("ms") - WINDOW_MS) >= WINDOW_MS, 1).otherwise(0)
-    paused = df.select("account_id", "transaction_id", "ms", start.alias("starts"))
-    stretches = paused.withColumn("stretch", F.sum("starts").over(_ordered())).groupBy("account_id", "stretch").agg(F.sort_array(F.collect_set("ms")).alias("times"))
-    none = F.array().cast("array<bigint>")
-    heads = F.aggregate("times", none, lambda h, x: F.when((F.size(h) == 0) | (x - F.try_element_at(h, F.lit(-1)) >= WINDOW_MS), F.concat(h, F.array(x))).otherwise(h))
-    return stretches.select("account_id", F.explode(heads).alias("ms"))
-
-
 def with_windows(df: DataFrame) -> DataFrame:
-    """window_no, window_start and the events before the window, of each event's anchored window."""
-    heads = window_heads(df).withColumn("opens", F.lit(True))
-    joined = df.join(heads, ["account_id", "ms"], "left")
-    first = F.coalesce(F.lag("ms").over(_ordered()) != F.col("ms"), F.lit(True))
-    opened = F.when(F.col("opens") & first, F.struct("ms", "rn"))
-    joined = joined.withColumn("opened", opened)
-    upto = _rows(0)
-    return joined.withColumns(
-        {
-            "window_no": F.count("opened").over(upto),
-            "window_start": F.last("opened.ms", True).over(upto),
-            "before_window": F.last("opened.rn", True).over(upto) - 1,
-        }
-    ).drop("opens", "opened")
+    """window_no, window_start and the events before the window, of each event's anchored window.
+
+    A window is opened by the first event, and by each that is five minutes or more after the one that opened the last. A pause
+    of five minutes always opens one, so the stretches between such pauses are folded apart; only a stretch's events are
+    one array. Grouping by account and stretch needs no other shuffle than that by account."""
+    pause = F.coalesce(F.col("ms") - F.lag("ms").over(_ordered()) >= WINDOW_MS, F.lit(True))
+    df = df.withColumn("pause", pause.cast("int")).withColumn("stretch", F.sum("pause").over(_rows(0))).drop("pause")
+    names = [c for c in df.columns if c not in ("account_id", "stretch")]
+    stretches = df.groupBy("account_id", "stretch").agg(F.sort_array(F.collect_list(F.struct("rn", *(c for c in names if c != "rn")))).alias("events"))
+    place = "struct<at:int,rn:bigint,ms:bigint>"
+    none = F.array().cast(f"array<{place}>")
+    opened = lambda e, i: F.struct(i.cast("int").alias("at"), e["rn"].alias("rn"), e["ms"].alias("ms"))
+    indexed = F.transform("events", opened)
+    heads = F.aggregate(
+        indexed, F.struct(none.alias("heads"), F.lit(None).cast("bigint").alias("last")),
+        lambda a, x: F.when(a["last"].isNull() | (x["ms"] - a["last"] >= WINDOW_MS), F.struct(F.concat(a["heads"], F.array(x)).alias("heads"), x["ms"].alias("last"))).otherwise(a),
+        lambda a: a["heads"],
+    )
+    spans = stretches.withColumn("heads", heads).select(
+        "account_id", F.posexplode(F.transform("heads", lambda h, i: F.struct(
+            h.alias("head"), F.slice("events", h["at"] + 1, F.coalesce(F.get("heads", i + 1)["at"], F.size("events")) - h["at"]).alias("own")))).alias("no", "span"),
+    )
+    events = spans.select("account_id", F.col("span.head.ms").alias("window_start"), (F.col("span.head.rn") - 1).alias("before_window"), F.inline("span.own"))
+    opens = (F.col("rn") == F.col("before_window") + 1).cast("long")
+    return events.withColumn("window_no", F.sum(opens).over(_rows(0)))
 
 
 def with_baseline(df: DataFrame) -> DataFrame:
