@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,20 +84,72 @@ def backlog(processed: DataFrame, explanations: DataFrame, limit: int = 50, ids:
 
 
 def parse_ids(text: str | None) -> list[str] | None:
-    return [x.strip() for x in text.split(",")] if text else None
+    """Ids between commas; empty items are no ids, and without any there is no list."""
+    return [x for x in map(str.strip, (text or "").split(",")) if x] or None
+
+
+class Retryable(Exception):
+    """A failure of the service that may pass; `after` is the pause it asked for, in seconds."""
+
+    def __init__(self, reason: str, after: float | None = None):
+        super().__init__(reason)
+        self.after = after
+
+
+def pauses(draw: Callable[[], float] = random.random) -> Iterator[float]:
+    """The pauses between tries: twice as long from try to try up to LONGEST_WAIT, each with up to a second more, so that
+    callers that failed together do not come back together."""
+    length = 2.0
+    for _ in range(ATTEMPTS - 1):
+        yield min(length, LONGEST_WAIT) + draw()
+        length *= 2
 
 
 def with_retries(call: Callable[[str], str], message: str, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The call's answer, tried up to ATTEMPTS times; waits as the error's headers say, or twice as long each time."""
-    for attempt in range(ATTEMPTS):
+    """The trimmed answer. A call that is Retryable is tried again as long as there is a pause left; other errors are the caller's."""
+    waits = pauses()
+    while True:
         try:
             return call(message).strip()
-        except Exception as error:
-            if attempt == ATTEMPTS - 1:
+        except Retryable as failure:
+            pause = next(waits, None)
+            if pause is None:
                 raise
-            asked = (getattr(getattr(error, "response", None), "headers", None) or {}).get("retry-after")
-            sleep((float(asked) if asked else min(2.0 ** (attempt + 1), LONGEST_WAIT)) + random.random())
-    raise AssertionError
+            sleep(pause if failure.after is None else failure.after + pause % 1)
+
+
+@dataclass(frozen=True)
+class ChatClient:
+    """A chat-completion service over HTTP, as a call for explain(). `post` sends a request and gives the answer's text."""
+
+    url: str
+    model: str
+    key: str
+    temperature: float = 0.3
+    max_tokens: int = 150
+    timeout: float = 30.0
+    post: Callable[[urllib.request.Request, float], str] | None = None
+
+    def request(self, message: str) -> urllib.request.Request:
+        said = [{"role": "system", "content": INSTRUCTION}, {"role": "user", "content": message}]
+        body = {"model": self.model, "messages": said, "temperature": self.temperature, "max_tokens": self.max_tokens}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        return urllib.request.Request(f"{self.url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
+
+    def __call__(self, message: str) -> str:
+        try:
+            answer = (self.post or _post)(self.request(message), self.timeout)
+        except urllib.error.HTTPError as error:
+            asked = error.headers.get("retry-after") if error.headers else None
+            raise Retryable(str(error), float(asked) if asked and asked.replace(".", "", 1).isdigit() else None) from error
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
+            raise Retryable(str(error)) from error
+        return json.loads(answer)["choices"][0]["message"]["content"]
+
+
+def _post(request: urllib.request.Request, timeout: float) -> str:
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return answer.read().decode()
 
 
 def explain(rows: DataFrame, call: Callable[[str], str] | None = None, per_minute: float = CALLS_PER_MINUTE) -> DataFrame:

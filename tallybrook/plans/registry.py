@@ -60,8 +60,8 @@ add("r07_detect", rules.detect, S.RULES, f"SELECT {S.RESULT} FROM d")
 add("p05_flagged_filter", lambda t: risk.flagged(rules.detect(t)), S.RULES, f"SELECT {S.RESULT} FROM d WHERE is_flagged")
 add("k03_processed_rows", lambda t: rules.detect(t).groupBy("is_flagged").agg(F.count("*").alias("n")), S.RULES, "SELECT is_flagged, count(*) AS n FROM d GROUP BY 1")
 add("p06_account_filter", lambda t: rules.detect(t).where(F.col("account_id") == F.lit(ONE_ACCOUNT)), S.RULES, f"SELECT {S.RESULT} FROM d WHERE account_id = '{ONE_ACCOUNT}'")
-add("p08_ids_filter", lambda t: explain.backlog(rules.detect(t), t.select("transaction_id", F.lit("x").alias("explanation")), ids=explain.parse_ids("1, 20,36 ,  300,501")), S.RULES,
-    f"SELECT {', '.join(explain.FACTS)} FROM d WHERE is_flagged AND transaction_id IN ('1', '20', '36', '300', '501')")
+add("p08_ids_filter", lambda t: explain.backlog(rules.detect(t), t.select("transaction_id", F.lit("x").alias("explanation")), ids=explain.parse_ids("254, 292,293 , ,  100,54,7")), S.RULES,
+    f"SELECT {', '.join(explain.FACTS)} FROM d WHERE is_flagged AND transaction_id IN ('254', '292', '293', '100', '54', '7')")
 QUERIES["f01_haversine_pairs"] = lambda spark, sf_dir: geo.pairs(spark).withColumn("km", F.round("km", 3))
 ORACLE_SQL["f01_haversine_pairs"] = S.query(S.PAIRS, "SELECT from_code, to_code, round(km, 3) AS km FROM pair")
 add("f12_country_label", lambda t: t.select("location").distinct().union(t.sparkSession.createDataFrame([("XX",)], "location string")).withColumn("label", labels.country_label(F.col("location"))),
@@ -162,9 +162,11 @@ add("e06_echo_flags", lambda t: evaluate.echoes(_detected(t)), S.RULES,
 add("e07_speed_distribution", lambda t: evaluate.speeds(_detected(t)), S.RULES, f"SELECT count(*) AS n, round(quantile_cont(speed, 0.5), 1) AS median_speed, round(min(speed), 1) AS min_speed FROM d WHERE {_true['geo']} AND prev_ms IS NOT NULL AND speed > 0")
 add("e08_window_ratio", lambda t: evaluate.window_ratios(_detected(t)), S.RULES,
     "SELECT coalesce(injected_label, 'none') AS label, count(*) AS n, round(avg(velocity_count / CAST(baseline_mean AS DOUBLE)), 6) AS mean_ratio, round(max(velocity_count / CAST(baseline_mean AS DOUBLE)), 6) AS max_ratio FROM d WHERE baseline_count >= 1 GROUP BY 1")
-for key in ("t01_stateful_detect", "t05_foreach_batch", "t08_replay"):
-    QUERIES[key] = lambda spark, sf_dir: ntz(jobs.replay_events(spark, sf_dir))
+for key, job in (("t01_stateful_detect", jobs.stateful_detect), ("t08_replay", jobs.replay_events)):
+    QUERIES[key] = lambda spark, sf_dir, job=job: ntz(job(spark, sf_dir))
     ORACLE_SQL[key] = ORACLE_SQL["r07_detect"]
+QUERIES["t05_foreach_batch"] = jobs.fan_out
+ORACLE_SQL["t05_foreach_batch"] = S.query(S.RULES, "SELECT transaction_id, is_flagged, triggered_rules, 'processed' AS sink FROM d UNION ALL SELECT transaction_id, is_flagged, triggered_rules, 'flagged' FROM d WHERE is_flagged")
 QUERIES["n01_accounts"] = lambda spark, sf_dir: generator.accounts(spark).drop("id")
 
 

@@ -95,7 +95,7 @@ def label_counts(tx: DataFrame) -> DataFrame:
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
     at = Settings.from_environment()
     parser = argparse.ArgumentParser(description="Publish seeded transactions to a broker.")
-    for flag, kind, default in (("--rate", float, 5.0), ("--broker", str, at.broker), ("--topic", str, at.topic), ("--accounts", int, 500), ("--anomaly-rate", float, 0.05), ("--duration", float, 60.0)):
+    for flag, kind, default in (("--rate", float, 5.0), ("--broker", str, at.broker), ("--topic", str, at.topic), ("--accounts", int, 500), ("--anomaly-rate", float, 0.05), ("--duration", float, None)):
         parser.add_argument(flag, type=kind, default=default)
     parser.add_argument("--injection-mode", choices=["random", *SPEEDS], default="random")
     return parser.parse_args(args)
