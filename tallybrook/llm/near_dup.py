@@ -35,8 +35,9 @@ SHINGLE, PERCENT = 5, 80
 MISSED, ROWS, GROUPS = 3e-4, 4, 14
 #: Estimated similarity from which a tie counts for a family; far below the threshold.
 FAMILY, BELOW = 0.5, 0.3
-#: Ties of a hub in one task's part, and shingles and documents that a block of a family holds, about.
-TIES, BLOCK_SHINGLES, BLOCK_DOCUMENTS = 20_000, 400_000, 20_000
+#: Ties of a hub in one task's part, and shingles and documents, about, that a block of a family's other documents holds, and
+#: how many such blocks the family is divided in for each of those.
+TIES, BLOCK_SHINGLES, BLOCK_DOCUMENTS, FINER = 20_000, 400_000, 20_000, 4
 #: Documents that are compared with one at once.
 AT_ONCE = 4_096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,13 +59,17 @@ def _seeds(functions: int) -> np.ndarray:
     return np.random.default_rng(6).integers(1, 1 << 63, size=(2, functions), dtype=np.uint64) | np.uint64(1)
 
 
+#: Words whose hashes a worker keeps.
+KEPT = 150_000
+
+
 class _WordHashes(dict):
     """Word to a 64-bit hash, kept for words met before."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= KEPT:
                 self.clear()
             self[word] = h
         return h
@@ -348,8 +353,9 @@ def links_of(ties: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     still = Table(still.join(sets, "row"), "open-sets")
     if still.df.isEmpty():
         return linked
-    blocks = lambda of: F.greatest(F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count(F.when(of, 1)) / BLOCK_DOCUMENTS)).cast("int")
-    counted = saved(still.df.groupBy("family").agg(blocks(F.col("rest")).alias("n_d"), blocks(F.lit(True)).alias("n_a")), "blocks")
+    parts_of = lambda total, size: F.ceil(total / F.lit(size)).cast("int")
+    blocks = lambda of, k: F.greatest(parts_of(k * F.sum(F.when(of, F.col("n"))), BLOCK_SHINGLES), parts_of(k * F.count(F.when(of, 1)), BLOCK_DOCUMENTS))
+    counted = saved(still.df.groupBy("family").agg(blocks(F.col("rest"), 1).alias("n_d"), blocks(F.lit(True), FINER).alias("n_a")), "blocks")
     own = lookup_join(still.df, counted, ["family"], "inner")
     block = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -628,3 +628,24 @@ def test_top_k_of_large_values_repeated_rows_and_clashing_columns(spark):
                 best = sorted(((sum(a * b for a, b in zip(v, w, strict=True)), -i) for i, w in whole if i != q), reverse=True)[:5]
                 expected.update((q, k, s) for k, (s, _) in enumerate(best, 1))
         assert got == expected
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns; each stage by itself on the same rows."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rules = {r.row: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    kept = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == sum(rules.values()) and kept.where("text is null or text = ''").isEmpty()
+    assert stages["quality_classifier"](spark, docs, str(tmp_path)).count() == len(TEXTS) + 2  # without labels every score is above the threshold
+    cut = stages["line_dedup"](spark, docs, str(tmp_path))
+    whole = {r.doc_id: r for r in cut.collect()}
+    assert cut.columns == docs.columns and whole[0].text is None and whole[1].text == "" and whole[2].text == TEXTS[2] and whole[7].text == "before it\nafter it"
+    assert whole[5].text == PASSAGE and cut.where("doc_id in (5, 6)").count() == 1  # the passage's other rows were copies and nothing else
+    first = stages["minhash_near_dedup"](spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and first.where("text is null").count() == 1 and first.where(F.col("text") == PASSAGE).count() == 1
+    packed = stages["best_fit_packing"](spark, docs, str(tmp_path))
+    assert packed.where("piece = 0").count() == len(TEXTS) + 2 and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+    none = saved(docs.limit(0), "no-docs")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
