@@ -57,8 +57,10 @@ def echoes(df: DataFrame) -> DataFrame:
 
 
 def speeds(df: DataFrame) -> DataFrame:
+    """Number, median and minimum of the speeds of labelled travel. Speeds are counted by tenths, as they are reported, before they are ordered."""
     travelled = df.where(_labelled(LABEL_OF_RULE["geo"]) & F.col("prev_ms").isNotNull() & (F.col("speed") > 0))
-    return travelled.agg(F.count("*").alias("n"), F.round(F.percentile("speed", 0.5), 1).alias("median_speed"), F.round(F.min("speed"), 1).alias("min_speed"))
+    cells = travelled.groupBy(F.round("speed", 1).alias("speed")).agg(F.count("*").alias("c"))
+    return cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.round(F.percentile("speed", 0.5, F.col("c")), 1).alias("median_speed"), F.min("speed").alias("min_speed"))
 
 
 def window_ratios(df: DataFrame) -> DataFrame:
