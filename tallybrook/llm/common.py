@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-_written: list[tuple[weakref.ref, str]] = []
+#: The session, the path and the writing thread of each table that is still there.
+_written: list[tuple[weakref.ref, str, int]] = []
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -53,7 +55,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def _drop_all() -> None:
-    for ref, path in _written:
+    for ref, path, _ in _written:
         spark = ref()
         try:
             if spark is not None and spark._jvm is not None:
@@ -78,7 +80,7 @@ class Table:
         self.spark = spark
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        _written.append((weakref.ref(spark), self.path))
+        _written.append((weakref.ref(spark), self.path, threading.get_ident()))
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
@@ -89,6 +91,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> Table:
+    """The table of what `make` returns, without those that were written on the way to it, by this thread."""
+    before = {path for _, path, _ in _written}
+    table = Table(make(), name)
+    for ref, path, thread in list(_written):
+        if path not in before and path != table.path and thread == threading.get_ident():
+            drop_path(ref(), path)
+            _written.remove((ref, path, thread))
+    return table
+
+
 def with_row_id(df: DataFrame, name: str = "_row", columns: list[str] | None = None) -> DataFrame:
     """The columns (all, if none are named) and a number for each row: its file's place among the table's files, and its place in the file.
 

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallybrook.llm import bpe_transducer, brown_lm, license_scan, line_dedup, near_dup, packing, pretokens, quality_classifier, quality_rules, token_counts, topk_search
-from tallybrook.llm.common import lookup_join, saved, tokenizer_path, with_row_id
+from tallybrook.llm import bpe_transducer, brown_lm, license_scan, line_dedup, near_dup, packing, pretokens, quality_classifier, quality_rules, queries, token_counts, topk_search
+from tallybrook.llm.common import lookup_join, saved, settled, tokenizer_path, with_row_id
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -649,3 +651,26 @@ def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
     none = saved(docs.limit(0), "no-docs")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_corpus_queries_against_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        db.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    sql = queries.ORACLE_SQL[name]
+    columns = sorted(db.sql(sql).columns)
+    norm = lambda rows: sorted(tuple(f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+    found = queries.QUERIES[name](spark, folder)
+    assert sorted(found.columns) == columns
+    assert norm(found.select(*columns).collect()) == norm(db.sql(f"select {', '.join(columns)} from ({sql})").fetchall())
+
+
+def test_tables_on_the_way_are_dropped(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(root))
+    table = settled(lambda: saved(saved(spark.range(5), "one").where("id > 1"), "two").selectExpr("id * 2 as id"), "three")
+    assert set(os.listdir(root)) - there == {os.path.basename(table.path)} and table.df.count() == 3
+    table.drop()
+    assert set(os.listdir(root)) == there
