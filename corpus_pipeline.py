@@ -8,11 +8,13 @@ others, and so are repeated rows; columns beside those of documents, of any name
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import line_dedup, near_dup, packing, quality_classifier, quality_rules
-from tallybrook.llm.common import saved, tokenizer_path, with_row_id
+from tallybrook.llm.common import saved, settled, tokenizer_path, with_row_id
 
 WITH_WORDS = r"[^\x20\x09-\x0D]"
 
@@ -66,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage wrote on its way, and its predecessor's rows, go when its own are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        table = settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)
