@@ -184,11 +184,14 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     the lines from `line` to `last`: of single ones, or within a run of several; run is the first line of either, window the place in it."""
     split = lambda x: F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), "")
     anchors = _strings(sorted(model.anchors))
-    able = docs.where(F.arrays_overlap(split(F.col("text")), anchors))
-    lines = able.select("row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = saved(lines.select("row", "line", split(F.col("content")).alias("words")), "lines")
+    held = F.size(F.array_intersect(split(F.col("text")), anchors))
+    able = docs.select("row", "text", held.alias("held")).where("held > 0").select("row", "text", (F.col("held") >= LEAST_ANCHORS).alias("many"))
+    lines = able.select("row", "many", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    lines = lines.select("row", "many", "line", split(F.col("content")).alias("words"))
+    # of texts with too few anchors for a paragraph of several lines, only lines that have one are of use
+    lines = saved(lines.where(F.col("many") | F.arrays_overlap("words", anchors)), "lines")
     gaps = F.sum((F.size("words") == 0).cast("int")).over(Window.partitionBy("row").orderBy("line"))
-    with_words = lines.withColumn("run", gaps).where(F.size("words") > 0)
+    with_words = lines.where("many").withColumn("run", gaps).where(F.size("words") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("line", "words")))
     runs = with_words.groupBy("row", "run").agg(F.min("line").alias("line"), F.max("line").alias("last"), ordered.alias("parts")).where("last > line")
     tagged = F.flatten(F.transform("parts", lambda x: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), w.alias("word")))))
