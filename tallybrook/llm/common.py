@@ -130,7 +130,7 @@ def with_row_id(df: DataFrame, name: str = "_row", columns: list[str] | None = N
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join to a table with one row a key. It is broadcast only after its rows have been counted
     to be within ``limit``; a larger one is repeated per salt and joined by a shuffle in which
-    a hot key is spread over ``SALTS`` tasks."""
+    a hot key is spread over ``SALTS`` tasks. `big` is read from a table, so that a task that is run again salts its rows alike."""
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))

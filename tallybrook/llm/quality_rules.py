@@ -98,47 +98,37 @@ def vector() -> list[Column]:
     return [F.log1p(n), (F.col("word_chars") + 250.0) / (n + 50.0), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
 
 
-def _distance(x: Column, centre: Column, whiten: Column) -> Column:
-    """Squared Mahalanobis distance: whiten holds the rows of the covariance's inverse Cholesky factor."""
-    at = lambda a, i: F.get(a, F.lit(i))
-    total, k = F.lit(0.0), 0
-    for i in range(DIMENSIONS):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + at(whiten, k) * (at(x, j) - at(centre, j))
-            k += 1
-        total = total + y * y
-    return total
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x: whiten holds the rows of the covariance's inverse Cholesky factor."""
+    place = {ij: n for n, ij in enumerate(TRIANGLE)}
+    parts = [" + ".join(f"whiten[{place[i, j]}] * (x[{j}] - centre[{j}])" for j in range(i + 1)) for i in range(DIMENSIONS)]
+    return F.expr(" + ".join(f"pow({part}, 2)" for part in parts))
 
 
 def with_whitening(rows: DataFrame) -> DataFrame:
     """Adds whiten, the inverse Cholesky factor of cov, and logdet, both of lower triangles; one step at a time."""
-    names = rows.columns
-    for n, (i, j) in enumerate(TRIANGLE):  # cov = l * l'
-        rest = F.get("cov", F.lit(n))
-        for k in range(j):
-            rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        rows = rows.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i, j in TRIANGLE:  # w = l inverted
-        value = F.lit(1.0) if i == j else F.lit(0.0)
-        for k in range(j, i):
-            value = value - F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}")
-        rows = rows.withColumn(f"w{i}_{j}", value / F.col(f"l{i}_{i}"))
-    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(1, DIMENSIONS)), 2 * F.log("l0_0"))
-    return rows.select(*names, F.array(*(F.round(f"w{i}_{j}", 9) for i, j in TRIANGLE)).alias("whiten"), F.round(logdet, 9).alias("logdet"))
+    names, place = rows.columns, {ij: n for n, ij in enumerate(TRIANGLE)}
+    less = lambda first, pairs: " - ".join([first, *(f"{x} * {y}" for x, y in pairs)])
+    rest = lambda i, j: less(f"cov[{place[i, j]}]", [(f"l{i}_{k}", f"l{j}_{k}") for k in range(j)])
+    inverse = lambda i, j: less("1" if i == j else "0", [(f"l{i}_{k}", f"w{k}_{j}") for k in range(j, i)])
+    for j in range(DIMENSIONS):  # cov = l * l', a column at a time
+        rows = rows.withColumn(f"l{j}_{j}", F.expr(f"sqrt(greatest({rest(j, j)}, 1e-6D))"))
+        rows = rows.withColumns({f"l{i}_{j}": F.expr(f"({rest(i, j)}) / l{j}_{j}") for i in range(j + 1, DIMENSIONS)})
+    for i in range(DIMENSIONS):  # w = l inverted, a row at a time
+        rows = rows.withColumns({f"w{i}_{j}": F.expr(f"({inverse(i, j)}) / l{i}_{i}") for j in range(i + 1)})
+    logdet = " + ".join(f"2 * ln(l{i}_{i})" for i in range(DIMENSIONS))
+    return rows.select(*names, F.expr(f"array({', '.join(f'round(w{i}_{j}, 9)' for i, j in TRIANGLE)})").alias("whiten"), F.expr(f"round({logdet}, 9)").alias("logdet"))
 
 
 def _estimates(rows: DataFrame, keys: list[str], vector: Column) -> DataFrame:
     """keys, centre, cov, whiten and logdet of the vectors of each group."""
-    at = lambda i: F.get("_v", F.lit(i))
-    sums = rows.withColumn("_v", vector).groupBy(*keys).agg(
-        F.count("*").alias("s"), *(F.sum(at(i)).alias(f"s{i}") for i in range(DIMENSIONS)), *(F.sum(at(i) * at(j)).alias(f"s{i}_{j}") for i, j in TRIANGLE)
-    )
-    mean = lambda i: F.col(f"s{i}") / F.col("s")
-    spread = lambda i, j: F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j)
-    cov = [CONSISTENCY * F.greatest(spread(i, j), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else CONSISTENCY * spread(i, j) for i, j in TRIANGLE]
-    made = sums.select(*keys, F.array(*(F.round(mean(i), 9) for i in range(DIMENSIONS))).alias("centre"), F.array(*(F.round(c, 9) for c in cov)).alias("cov"))
-    return with_whitening(made)
+    sums = [f"sum(_v[{i}]) as s{i}" for i in range(DIMENSIONS)] + [f"sum(_v[{i}] * _v[{j}]) as s{i}_{j}" for i, j in TRIANGLE]
+    sums = rows.withColumn("_v", vector).groupBy(*keys).agg(F.count("*").alias("s"), *map(F.expr, sums))
+    spread = lambda i, j: f"s{i}_{j} / s - (s{i} / s) * (s{j} / s)"
+    cov = [f"{CONSISTENCY} * greatest({spread(i, i)}, 0) + {FLOORS[i] ** 2}D" if i == j else f"{CONSISTENCY} * ({spread(i, j)})" for i, j in TRIANGLE]
+    centre = [f"s{i} / s" for i in range(DIMENSIONS)]
+    arrays = {name: F.expr(f"array({', '.join(f'round(double({x}), 9)' for x in values)})").alias(name) for name, values in (("centre", centre), ("cov", cov))}
+    return with_whitening(sums.select(*keys, *arrays.values()))
 
 
 def quantiles(binned: DataFrame, keys: list[str], parts: list[float]) -> DataFrame:
@@ -152,7 +142,7 @@ def _starts(points: DataFrame) -> DataFrame:
     """Three starts of each group, by medians and quartiles, by the moments of clipped vectors and by those of directions."""
     bins = F.transform("x", lambda v: F.greatest(F.least(F.floor(v * VALUE_BINS), F.lit(1 << 24)), F.lit(-(1 << 24))))
     cells = points.select(*KEYS, F.posexplode(bins).alias("i", "bin")).groupBy(*KEYS, "i", "bin").agg(F.count("*").alias("n"))
-    by_place = quantiles(saved(cells, "value-bins"), [*KEYS, "i"], [0.25, 0.5, 0.75])
+    by_place = quantiles(cells, [*KEYS, "i"], [0.25, 0.5, 0.75])
     middle = lambda c: (F.col(c) + 0.5) / VALUE_BINS
     floors = F.array(*map(F.lit, FLOORS))
     scale = F.sqrt(F.pow((F.col("p2") - F.col("p0")) / (1.349 * VALUE_BINS), 2) + F.pow(F.get(floors, F.col("i")), 2))
@@ -175,10 +165,10 @@ def _starts(points: DataFrame) -> DataFrame:
 def _concentrated(points: DataFrame, estimates: DataFrame) -> DataFrame:
     """The estimates of the nearest CORE of each group's vectors, by each of its present estimates."""
     keys = [*KEYS, "start"]
-    distance = F.floor(DISTANCE_BINS * F.log2(_distance(F.col("x"), F.col("centre"), F.col("whiten")) + 1e-6))
+    distance = F.floor(DISTANCE_BINS * F.log2(_distance() + 1e-6))
     near = lambda e: lookup_join(points, e, KEYS, "inner").withColumn("bin", distance)
     cells = near(estimates.select(*keys, "centre", "whiten")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    most = quantiles(saved(cells, "distance-bins"), keys, [CORE]).select(*keys, F.col("p0").alias("most"))
+    most = quantiles(cells, keys, [CORE]).select(*keys, F.col("p0").alias("most"))
     present = saved(estimates.join(most, keys).select(*keys, "n", "centre", "whiten", "most"), "core")
     found = _estimates(near(present.drop("n")).where("bin <= most").select(*keys, "x"), keys, F.col("x"))
     return saved(found.join(present.select(*keys, "n"), keys), "estimates")
@@ -203,15 +193,15 @@ def robust_estimates(points: DataFrame) -> DataFrame:
 def mixed_estimates(found: DataFrame) -> DataFrame:
     """lang, source, centre and whiten: each group's estimate mixed with that of its language, which is with that of all."""
     wide = F.array(*(F.lit(WIDE[i] ** 2 if i == j else 0.0) for i, j in TRIANGLE))
-    at = lambda c, i: F.get(c, F.lit(i))
     above = found.where("level = 0").select(F.lit("").alias("lang"), F.lit("").alias("source"), F.col("centre").alias("up_centre"), wide.alias("up_cov"))
     for level, keys in enumerate((["lang", "source"], ["source"], ["lang"])):  # source is empty above the last level, and lang above them all
         own = found.where(F.col("level") == level).join(above if level == 0 else above.select(*keys, "up_centre", "up_cov"), keys)
         own = own.withColumn("w", F.col("n") / (F.col("n") + PRIOR_ROWS))
-        gap = lambda i: at("centre", i) - at("up_centre", i)
-        centre = F.array(*(F.col("w") * at("centre", i) + (1 - F.col("w")) * at("up_centre", i) for i in range(DIMENSIONS)))
-        cov = F.array(*(F.col("w") * at("cov", n) + (1 - F.col("w")) * at("up_cov", n) + F.col("w") * (1 - F.col("w")) * gap(i) * gap(j) for n, (i, j) in enumerate(TRIANGLE)))
-        made = saved(own.select("lang", "source", centre.alias("centre"), cov.alias("cov")), "mixed")
+        mixed = lambda c, n: f"w * {c}[{n}] + (1 - w) * up_{c}[{n}]"
+        gap = lambda i: f"(centre[{i}] - up_centre[{i}])"
+        centre = F.expr(f"array({', '.join(mixed('centre', i) for i in range(DIMENSIONS))})")
+        cov = F.expr(f"array({', '.join(f'{mixed("cov", n)} + w * (1 - w) * {gap(i)} * {gap(j)}' for n, (i, j) in enumerate(TRIANGLE))})")
+        made = own.select("lang", "source", centre.alias("centre"), cov.alias("cov"))
         above = made.select("lang", "source", F.col("centre").alias("up_centre"), F.col("cov").alias("up_cov"))
     return with_whitening(made).select("lang", "source", "centre", "whiten")
 
@@ -233,7 +223,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     points = saved(counted.where(~F.col("base_failed")).select(F.explode(groups).alias("g"), "x").select("g.*", "x"), "points")
     estimates = saved(mixed_estimates(robust_estimates(points)), "estimates")
     judged = lookup_join(counted, estimates, ["lang", "source"])
-    judged = judged.withColumn("distance", _distance(F.col("x"), F.col("centre"), F.col("whiten")))
+    judged = judged.withColumn("distance", _distance())
     return judged.select(
         "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
