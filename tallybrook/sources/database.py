@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.config import jdbc_config
+from tallybrook.operators.explain import with_explanations
 
 PROCESSED, FLAGGED, EXPLANATIONS, BATCHES = "processed_transactions", "flagged_transactions", "transaction_explanations", "written_batches"
 
 
+def ensure_columns(flags: DataFrame) -> DataFrame:
+    """explanation and explained_at, null where a table does not have them yet."""
+    for name, kind in (("explanation", "string"), ("explained_at", "timestamp")):
+        if name not in flags.columns:
+            flags = flags.withColumn(name, F.lit(None).cast(kind))
+    return flags
+
+
 class Database:
     """Where a JDBC URL points. Filters and columns of what is read go to the database."""
 
@@ -45,6 +54,11 @@ class Database:
             return self.read(EXPLANATIONS)
         return self.spark.createDataFrame([], "transaction_id string, explanation string, explained_at timestamp")
 
+    def explained(self) -> DataFrame:
+        """Flagged rows with their newest explanation; its columns are there before any is written."""
+        flags = self.flagged()
+        return with_explanations(flags, self.read(EXPLANATIONS)) if self.has(EXPLANATIONS) else ensure_columns(flags)
+
     def account(self, account_id: str) -> DataFrame:
         """One account's processed rows; the id is a literal of the filter that the database applies."""
         return self.processed().where(F.col("account_id") == F.lit(account_id))

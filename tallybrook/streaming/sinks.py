@@ -77,11 +77,3 @@ def start(results: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
 def read_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The processed rows and the flagged ones as they were written, without the batch they came in."""
     return tuple(spark.read.parquet(f"{folder}/{table}").drop("batch") for table in (PROCESSED, FLAGGED))
-
-
-def ensure_columns(df: DataFrame) -> DataFrame:
-    """explanation and explained_at, null where a table does not have them yet."""
-    for name, kind in (("explanation", "string"), ("explained_at", "timestamp")):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df

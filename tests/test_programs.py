@@ -35,6 +35,8 @@ def test_explanations_of_the_oldest_and_of_named_ones(spark, database):
     assert explainer.run(spark, again, call=lambda m: "because " + m.split("account ")[1][:10], per_minute=60_000, say=calls.append) == 2
     newest = {r.transaction_id: r.explanation for r in explain.latest_explanations(database.explanations()).collect()}
     assert len(newest) == 4 and newest[oldest[0]].startswith("because acct_") and newest[oldest[1]].startswith("Flagged because")
+    shown = database.explained()
+    assert shown.count() == database.flagged().count() and {r.transaction_id for r in shown.where("explanation is not null").collect()} == set(newest)
     with pytest.raises(SystemExit):
         explainer.run(spark, explainer.arguments(["--postgres-url", database.url]))
 

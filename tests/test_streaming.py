@@ -127,6 +127,7 @@ def test_a_database_has_each_row_once(spark):
     database, write = Database(spark, url), sinks.write_jdbc(url)
     batch = rules.detect(transactions(spark, SF))
     assert not database.has("written_batches") and database.explanations().isEmpty()
+    assert database.explained().columns[-2:] == ["explanation", "explained_at"]
     write(batch, 0)
     write(batch, 0)  # it had ended: nothing is written
     assert database.processed().count() == batch.count() and database.flagged().count() == batch.where("is_flagged").count()
